@@ -1 +1,8 @@
 """Registry analytics on Spark: cleaning specs, profiles, models and lineage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

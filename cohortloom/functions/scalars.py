@@ -109,88 +109,49 @@ def to_boolean(c: Column, dtype: T.DataType = STRING) -> Column:
 
 
 # --- dates ------------------------------------------------------------------
-# A date cell is read in stages so that each stage is a small projection over
-# plain attributes: text -> shape and parts -> candidate ISO texts -> date.
-# Slash dates are day-first and fall back to month-first; dash dates that end in
-# the year are month-first and fall back to day-first.
-
-
-def _shapes(*forms: str) -> tuple[str, ...]:
-    """Spell out 1-2 digit parts: 'n/n/9999' -> 9/9/9999, 99/9/9999, ..."""
-    out = [""]
-    for ch in "".join(forms[:1]):
-        out = [o + v for o in out for v in (("9", "99") if ch == "n" else (ch,))]
-    return tuple(out) + (_shapes(*forms[1:]) if len(forms) > 1 else ())
-
-
-_DAY_FIRST = _shapes("n/n/9999", "n/n/99")
-_SHORT_YEAR = _shapes("n/n/99")
-_YEAR_FIRST = _shapes("9999-n-n", "9999/n/n")
-_DASH_YEAR_LAST = _shapes("n-n-9999")
-_MONTHS = (
-    "january", "february", "march", "april", "may", "june", "july",
-    "august", "september", "october", "november", "december",
+# Written forms are rewritten to ISO text one anchored pattern at a time, then
+# cast once. Slash dates are day-first unless the middle part cannot be a month;
+# dash dates that end in the year are month-first unless the first part cannot
+# be one. Two-digit years: 69-99 are 19xx, 00-68 are 20xx. Whatever is left and
+# is not an ISO date or a bare year fails the cast and becomes null.
+_REWRITES = (
+    (r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)$", "$119$2"),
+    (r"^(\d{1,2}/\d{1,2}/)(\d{2})$", "$120$2"),
+    (r"^(\d{1,2})/(1[3-9]|[2-9]\d)/(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(1[3-9]|[2-9]\d)-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4}-\d{2}-\d{2})[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", "$1"),
+    # A cast would accept these; as dates they are noise.
+    (r"^([+-].*|\d{5,}.*|\d{4}-\d{1,2}-\d{1,2}[ T].*)$", ""),
 )
-_MONTH_INDEX = "".join(m[:3] for m in _MONTHS)
-_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def date_shape(text: Column) -> Column:
-    """The text with digits as 9 and letters as a."""
-    return F.translate(text, "0123456789" + _LETTERS, "9" * 10 + "a" * len(_LETTERS))
-
-
-def date_parts(text: Column) -> Column:
-    return F.split(F.replace(text, F.lit(","), F.lit("")), "[/ -]")
-
-
-def _iso(year: Column, month: Column, day: Column) -> Column:
-    return F.concat_ws("-", year, month, day)
+_MONTH = (
+    "(?i:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?"
+    "|(Aug)(?:ust)?|(Sep)(?:tember)?|(Oct)(?:ober)?|(Nov)(?:ember)?|(Dec)(?:ember)?)"
+)
+_MONTH_FIRST = r"^" + _MONTH + r" (\d{1,2}),? (\d{4})$"
+_DAY_MONTH = r"^(\d{1,2}) " + _MONTH + r" (\d{4})$"
+_PICK_FIRST = "$13 " + "".join(f"${i}" for i in range(1, 13)) + " $14"
+_PICK_SECOND = "$1 " + "".join(f"${i}" for i in range(2, 14)) + " $14"
 
 
-def iso_candidates(text: Column, shape: Column, parts: Column) -> tuple[Column, Column]:
-    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
-    # Two-digit years: 69-99 are 19xx, 00-68 are 20xx.
-    year = F.when(shape.isin(*_SHORT_YEAR), F.concat(F.when(third >= "69", "19").otherwise("20"), third)).otherwise(third)
-    digits_first = F.startswith(shape, F.lit("9"))
-    name = F.lower(F.when(digits_first, second).otherwise(first))
-    known = name.isin(*_MONTHS, *[m[:3] for m in _MONTHS])
-    number = _month_number(name)
-    day = F.when(digits_first, first).otherwise(second)
-    worded = shape.rlike("^(9{1,2} a+|a+ 9{1,2},?) 9999$") & known
-    preferred = (
-        F.when(shape.isin(*_DAY_FIRST), _iso(year, second, first))
-        .when(shape.isin(*_YEAR_FIRST), _iso(first, second, third))
-        .when(shape.isin(*_DASH_YEAR_LAST), _iso(third, first, second))
-        .when(shape == "99999999", _iso(F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
-        .when(shape == "9999", F.concat(text, F.lit("-01-01")))
-        .when(shape.rlike("^9999-99-99[ a]99:99"), F.substring(text, 1, 10))
-        .when(worded, _iso(third, number, day))
+def date_text(text: Column) -> Column:
+    """Date of present text; each branch reads the text once."""
+    iso = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), _REWRITES, text)
+    worded = F.regexp_replace(
+        F.regexp_replace(text, _MONTH_FIRST, _PICK_FIRST), _DAY_MONTH, _PICK_SECOND
     )
-    other = (
-        F.when(shape.isin(*_DAY_FIRST), _iso(year, first, second))
-        .when(shape.isin(*_DASH_YEAR_LAST), _iso(third, second, first))
-    )
-    return preferred, other
-
-
-def _month_number(name: Column) -> Column:
-    at = F.instr(F.lit(_MONTH_INDEX), F.left(name, F.lit(3)))
-    return ((at + 2) / 3).cast("int").cast("string")
-
-
-def date_value(preferred: Column, other: Column) -> Column:
-    return F.coalesce(preferred.try_cast("date"), other.try_cast("date"))
+    return F.coalesce(iso.try_cast("date"), F.try_to_date(F.initcap(worded), "d MMM yyyy"))
 
 
 def to_date(c: Column, dtype: T.DataType = STRING) -> Column:
-    """One-expression form; specs use the staged form for long field lists."""
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    text = present_text(c, dtype)
-    return date_value(*iso_candidates(text, date_shape(text), date_parts(text)))
+    return date_text(present_text(c, dtype))
 
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

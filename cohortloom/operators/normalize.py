@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as S
 from .filters import field_list
 from .flags import Flag
+from .let import let
 
 _KINDS = ("text", "category", "boolean", "date", "number")
 
@@ -27,13 +28,13 @@ LITERAL_MAP_LIMIT = 64
 
 
 def staged(df: DataFrame, wanted: list[tuple[str, str]]) -> tuple[DataFrame, list[Column], list[Column], list[str]]:
-    """Normalize (source, kind) pairs in a few small projections.
+    """Normalize (source, kind) pairs over shared trimmed-text columns.
 
     Returns the frame with helper columns, the value and the present text of each
-    pair, and the helper names to drop. Each helper is computed once per row and
-    later stages refer to it by name, which keeps generated code small.
+    pair, and the helper names to drop. The text is computed once per row and
+    later expressions refer to it by name, which keeps generated code small.
     """
-    text, words, shapes, isos = {}, {}, {}, {}
+    text: dict[str, Column] = {}
     values: list[Column] = []
     texts: list[Column] = []
     for i, (source, kind) in enumerate(wanted):
@@ -49,22 +50,18 @@ def staged(df: DataFrame, wanted: list[tuple[str, str]]) -> tuple[DataFrame, lis
         elif kind == "category":
             values.append(S.title_text(t))
         elif kind == "boolean":
-            words[f"_w{i}"] = S.leading_word(t)
-            values.append(S.boolean_word(F.col(f"_w{i}")))
+            values.append(S.boolean_word(S.leading_word(t)))
         elif kind == "number":
             typed = isinstance(dtype, (T.NumericType, T.BooleanType)) or not isinstance(dtype, T.StringType)
             values.append(S.to_number(cell, dtype) if typed else S.number_text(t))
         elif isinstance(dtype, T.StringType):
-            shapes[f"_s{i}"], shapes[f"_p{i}"] = S.date_shape(t), S.date_parts(t)
-            first, other = S.iso_candidates(t, F.col(f"_s{i}"), F.col(f"_p{i}"))
-            isos[f"_a{i}"], isos[f"_b{i}"] = first, other
-            values.append(S.date_value(F.col(f"_a{i}"), F.col(f"_b{i}")))
+            values.append(S.date_text(t))
         else:
             values.append(S.to_date(cell, dtype))
-    for stage in (text, {**words, **shapes}, isos):
-        if stage:
-            df = df.withColumns(stage)
-    return df, values, texts, [*text, *words, *shapes, *isos]
+    # Text first, then the values that read it.
+    df = let(let(df, text), {f"_v{i}": v for i, v in enumerate(values)})
+    named = [F.col(f"_v{i}") for i in range(len(values))]
+    return df, named, texts, [*text, *[f"_v{i}" for i in range(len(values))]]
 
 
 def normalization_plan(params: dict[str, Any]) -> list[dict[str, str]]:
