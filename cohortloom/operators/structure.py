@@ -120,6 +120,27 @@ def publishable(df: DataFrame) -> DataFrame:
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
+    """Union by column name, absent cells null.
+
+    A column whose type differs between frames takes its contract type, or text
+    when it has none.
+    """
+    contract = dict(fv.CANONICAL_FIELDS)
+    types: dict[str, set[str]] = {}
+    for frame in frames:
+        for f in frame.schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {n: contract.get(n, "string") for n, t in types.items() if len(t) > 1}
+
+    def aligned(frame: DataFrame) -> DataFrame:
+        casts = {
+            n: F.col(f"`{n}`").try_cast(t)
+            for n, t in mixed.items()
+            if n in frame.columns and frame.schema[n].dataType.simpleString() != t
+        }
+        return frame.withColumns(casts) if casts else frame
+
+    frames = [aligned(f) for f in frames]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame, allowMissingColumns=True)

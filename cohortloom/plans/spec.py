@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -441,9 +441,14 @@ class CompiledSpec:
     spec: dict[str, Any]
     adapter_id: str
     table: DataFrame
-    segments: list[Segment]
     steps: list[Step]
     facts: dict[int, dict[str, Any]]
+    trace: Callable[[], list[Segment]]
+
+    @cached_property
+    def segments(self) -> list[Segment]:
+        """Traced plans, built when counts are first asked for."""
+        return self.trace()
 
     @property
     def traced(self) -> DataFrame:
@@ -546,6 +551,7 @@ def compile_spec(
     env: Environment,
     source_file: Column | None = None,
     row_id: Column | None = None,
+    drop_source_column: str | None = None,
 ) -> CompiledSpec:
     steps = steps_of(spec)
     for step in steps:
@@ -556,6 +562,8 @@ def compile_spec(
         source_file if source_file is not None else F.lit(None).cast("string"),
         row_id if row_id is not None else F.monotonically_increasing_id(),
     )
+    if drop_source_column:
+        base = base.drop(drop_source_column)
 
     # Fold 1: the published table.
     table, facts = base, {}
@@ -567,7 +575,11 @@ def compile_spec(
             table = table.filter(~outcome.drop)
     table = _stamp(table, env)
 
-    # Fold 2: the traced rows.
+    return CompiledSpec(spec, env.adapter_id, table, steps, facts, lambda: _trace(base, steps, env))
+
+
+def _trace(base: DataFrame, steps: list[Step], env: Environment) -> list[Segment]:
+    """Fold 2: every row, with drop marks and counters; a join starts a segment."""
     current = base.withColumn(DROPPED, F.lit(None).cast("int"))
     segment = Segment(current, 0)
     segments = [segment]
@@ -592,7 +604,7 @@ def compile_spec(
             current = current.withColumn(DROPPED, F.when(hit, step.position).otherwise(F.col(DROPPED)))
             segment.drops.append(step.position)
     segment.df = _stamp(current, env)
-    return CompiledSpec(spec, env.adapter_id, table, segments, steps, facts)
+    return segments
 
 
 def _stamp(df: DataFrame, env: Environment) -> DataFrame:

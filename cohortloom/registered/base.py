@@ -99,3 +99,8 @@ def sql_number(x: str) -> str:
 
 def sql_day(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d')"
+
+
+def sql_round(x: str, digits: int) -> str:
+    """Half-up rounding of the shortest decimal form, as Spark rounds doubles."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38, 18)), {digits}) as double)"

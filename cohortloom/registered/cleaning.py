@@ -182,7 +182,7 @@ def _(spark, sf):
     "math_operations",
     "select l_orderkey, l_linenumber, l_partkey, l_suppkey, "
     "round(l_extendedprice + l_quantity, 2) as added, round(l_extendedprice - 10, 2) as reduced, "
-    "round(l_extendedprice * l_discount, 3) as scaled, "
+    "round(l_extendedprice * l_discount, 4) as scaled, "
     "case when l_discount <> 0 then round(l_quantity / l_discount, 3) end as divided from lineitem",
 )
 def _(spark, sf):
@@ -190,7 +190,7 @@ def _(spark, sf):
     plan = {
         "added": {"operator": "add", "left_field": "l_extendedprice", "right_field": "l_quantity", "precision": 2},
         "reduced": {"operator": "subtract", "left_field": "l_extendedprice", "right_value": 10, "precision": 2},
-        "scaled": {"operator": "multiply", "left_field": "l_extendedprice", "right_field": "l_discount", "precision": 3},
+        "scaled": {"operator": "multiply", "left_field": "l_extendedprice", "right_field": "l_discount", "precision": 4},
         "divided": {"left_field": "l_quantity", "right_field": "l_discount", "precision": 3},
     }
     out = df.withColumns({name: normalize.math_value(df, p) for name, p in plan.items()})
@@ -433,7 +433,7 @@ ORDER_SPEC = {
         {"operation": "normalize_fields", "params": {"fields": ["n"], "type": "number"}},
         {"operation": "normalize_fields", "params": {"fields": ["t"], "type": "category"}},
         {"operation": "remap_values", "params": {"field": "t", "value_mappings": {"1-urgent": "Urgent", "f": ""}}},
-        {"operation": "math", "params": {"operator": "divide", "left_field": "o_totalprice", "right_field": "n", "output": "unit", "precision": 2}},
+        {"operation": "math", "params": {"operator": "divide", "left_field": "o_totalprice", "right_field": "n", "output": "unit", "precision": 6}},
         {"operation": "derive_age", "params": {"source": "n", "output": "age", "dob": "absent", "missing_flag": "missing_age"}},
         {
             "operation": "filter_rows", "label": "Filter cheap rows",
@@ -480,7 +480,7 @@ _KEPT_SQL = f"(select * from {_STEPS_SQL} where not stub and o_totalprice >= 100
     "spec_clean_rows",
     f"select o_orderkey as patient_id, o_orderstatus as contributor, {sql_day(sql_date('d'))} as d, {sql_boolean('b')} as b, num as n, "
     "case when lower(title) = '1-urgent' then 'Urgent' when lower(title) = 'f' then null else title end as t, "
-    "case when num <> 0 then round(o_totalprice / num, 2) end as unit, "
+    "case when num <> 0 then round(o_totalprice / num, 6) end as unit, "
     f"try_cast(trunc(num) as integer) as age, {_FLAG_LIST} as flags, 'orders' as source from {_KEPT_SQL}",
 )
 def _(spark, sf):
