@@ -18,6 +18,10 @@ MAX_LEVELS = 1000
 # A frame is folded to distinct rows with counts when that at least halves it.
 FOLD_SHARE = 0.5
 
+# Folded frames up to this many rows are passed over by one task: less work per
+# Newton step than starting several.
+ONE_TASK_ROWS = 5000
+
 
 @dataclass(frozen=True)
 class Term:
@@ -57,14 +61,20 @@ class ModelFrame:
     input_rows: int
     n: int
     events: int
-    foldable: bool
+    distinct_x: int
 
-    def cells(self, *extra: str) -> DataFrame:
+    def cells(self, rows: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
         """(label, x, extra..., n): distinct rows with counts when that pays."""
-        keys = ["label", "x", *extra]
-        if self.foldable:
-            return self.df.groupBy(*keys).agg(F.count("*").alias("n"))
-        return self.df.select(*keys, F.lit(1).cast("bigint").alias("n"))
+        return fold(self.df if rows is None else rows, ["label", "x", *extra], self.n, self.distinct_x)
+
+
+def fold(rows: DataFrame, keys: list[str], n: int, distinct_x: int) -> DataFrame:
+    if distinct_x <= FOLD_SHARE * n:
+        cells = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    else:
+        cells = rows.select(*keys, F.lit(1).cast("bigint").alias("n"))
+    # Distinct rows carry at most two labels and a few folds per covariate row.
+    return cells.repartition(1) if min(n, 10 * distinct_x) <= ONE_TASK_ROWS else cells
 
 
 def choose_levels(values: list[str]) -> tuple[str, str]:
@@ -213,7 +223,7 @@ def build_model_frame(
         rows = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in keep]))
     return ModelFrame(
         rows, [design.terms[i] for i in keep], design.skipped, encoded,
-        df.count(), head["n"], events, head["distinct_x"] <= FOLD_SHARE * head["n"],
+        df.count(), head["n"], events, head["distinct_x"],
     )
 
 

@@ -15,7 +15,7 @@ from ..functions import fixed_values as fv
 from ..functions.stats import clipped_exp, rounded, two_sided_normal_p
 from ..session import materialize
 from .evaluate import auc, auc_from_table
-from .frame import ModelFrame, Term, stratified_folds
+from .frame import ONE_TASK_ROWS, ModelFrame, Term, stratified_folds
 from .newton import OutsideFold, batch_arrays, fit_batch, linear_score, sigmoid, standard_errors
 
 TERM_SCHEMA = (
@@ -127,11 +127,7 @@ def fold_count(frame: ModelFrame) -> int:
 
 def folded_cells(frame: ModelFrame, row_keys: list[str], folds: int) -> DataFrame:
     """Frame rows with their fold, folded to distinct rows per fold when that pays."""
-    rows = stratified_folds(frame.df, row_keys, folds)
-    keys = ["label", "x", "fold"]
-    if frame.foldable:
-        return rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return rows.select(*keys, F.lit(1).cast("bigint").alias("n"))
+    return frame.cells(stratified_folds(frame.df, row_keys, folds), ("fold",))
 
 
 def cross_validated_auc(frame: ModelFrame, row_keys: list[str]) -> CrossValidation:
@@ -270,8 +266,11 @@ def bootstrap_validation(
     if apparent is None:
         return Bootstrap("fallback", "apparent AUC could not be estimated", 0, replicates)
     keys = ["label", "x"]
+    cells = frame.cells()
+    if min(frame.n, 10 * frame.distinct_x) > ONE_TASK_ROWS:
+        cells = cells.repartition(*keys)
     # Stored in a fixed order: resample counts belong to places in this table.
-    cells = materialize(frame.cells().repartition(*keys).sortWithinPartitions(*keys))
+    cells = materialize(cells.sortWithinPartitions(*keys))
     draw = Resample(seed, replicates, _partition_totals(cells))
     fits = fit_batch(cells, len(frame.terms), replicates, draw)
     models = np.nonzero(fits.usable)[0]

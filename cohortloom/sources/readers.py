@@ -61,12 +61,13 @@ def _columns(header: str, delimiter: str) -> tuple[str, ...]:
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """No line holds the replacement character a failed decode leaves behind."""
-    return not spark.read.text(path).filter(F.contains("value", F.lit("�"))).take(1)
+    """Every line of the file is valid UTF-8 (checked on the executors)."""
+    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).take(1)
 
 
 def read_csv_set(
-    spark: SparkSession, paths: list[str], delimiter: str | None = ",", encoding: str | None = "UTF-8"
+    spark: SparkSession, paths: list[str], delimiter: str | None = ",", encoding: str | None = "UTF-8",
+    trim_names: bool = False,
 ) -> DataFrame:
     """Union of CSV files by column name, every cell as text, plus the file name.
 
@@ -78,7 +79,8 @@ def read_csv_set(
         coding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
         lines = _head(spark, path, coding)
         sep = delimiter or sniff_delimiter(lines)
-        return _columns(lines[0] if lines else "", sep), sep, coding
+        names = _columns(lines[0] if lines else "", sep)
+        return tuple(n.strip() for n in names) if trim_names else names, sep, coding
 
     # Only headers are read here, a few at a time.
     with ThreadPoolExecutor(8) as pool:
@@ -160,9 +162,7 @@ MARKER_COLUMNS = ("k_number", "marker", "value", "notes")
 
 def read_marker_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(marker rows, rejected files): one CSV per report, entity key in its name."""
-    frame = read_csv_set(spark, paths)
-    names = {c: c.strip() for c in frame.columns if c != FILE_NAME}
-    frame = frame.withColumnsRenamed(names)
+    frame = read_csv_set(spark, paths, trim_names=True)
     if "notes" not in frame.columns:
         frame = frame.withColumn("notes", F.lit(""))
     missing = sorted({"marker", "value"} - set(frame.columns))
