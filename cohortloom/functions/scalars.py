@@ -6,6 +6,7 @@ cleaning chain stays inside one generated code span.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,13 @@ BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
     for code in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 )
 STRING = T.StringType()
+
+# A cell that is nothing but a null token between blanks. One precompiled match
+# reads the cell once, where trim + lower + list lookup would copy it twice.
+_BLANK_CLASS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in BLANKS) + "]*"
+MISSING_PATTERN = (
+    "(?i)^" + _BLANK_CLASS + "(?:" + "|".join(re.escape(t) for t in fv.NULL_TOKENS) + ")" + _BLANK_CLASS + "$"
+)
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -49,14 +57,14 @@ def present_text(c: Column, dtype: T.DataType = STRING) -> Column:
     """Trimmed text, or null when the cell is blank or a null token."""
     if is_nested(dtype):
         return text_form(c, dtype)
-    text = strip(text_form(c, dtype))
-    return F.when(~F.lower(text).isin(*fv.NULL_TOKENS), text)
+    text = text_form(c, dtype)
+    return F.when(~text.rlike(MISSING_PATTERN), strip(text))
 
 
 def missing_to_null(c: Column, dtype: T.DataType = STRING) -> Column:
     """The untrimmed cell, or null when it is missing; nested cells recurse."""
     if isinstance(dtype, T.StringType):
-        return F.when(~F.lower(strip(c)).isin(*fv.NULL_TOKENS), c)
+        return F.when(~c.rlike(MISSING_PATTERN), c)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(c), c)
     if isinstance(dtype, T.ArrayType):
@@ -76,7 +84,7 @@ def missing_to_null(c: Column, dtype: T.DataType = STRING) -> Column:
 
 def is_missing(c: Column, dtype: T.DataType = STRING) -> Column:
     if isinstance(dtype, T.StringType):
-        return c.isNull() | F.lower(strip(c)).isin(*fv.NULL_TOKENS)
+        return F.coalesce(c.rlike(MISSING_PATTERN), F.lit(True))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -114,12 +122,14 @@ def to_boolean(c: Column, dtype: T.DataType = STRING) -> Column:
 # dash dates that end in the year are month-first unless the first part cannot
 # be one. Two-digit years: 69-99 are 19xx, 00-68 are 20xx. Whatever is left and
 # is not an ISO date or a bare year fails the cast and becomes null.
-_REWRITES = (
+_SLASH_REWRITES = (
     (r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)$", "$119$2"),
     (r"^(\d{1,2}/\d{1,2}/)(\d{2})$", "$120$2"),
     (r"^(\d{1,2})/(1[3-9]|[2-9]\d)/(\d{4})$", "$3-$1-$2"),
     (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
     (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+)
+_OTHER_REWRITES = (
     (r"^(1[3-9]|[2-9]\d)-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
     (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
     (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
@@ -131,6 +141,7 @@ _MONTH = (
     "(?i:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?"
     "|(Aug)(?:ust)?|(Sep)(?:tember)?|(Oct)(?:ober)?|(Nov)(?:ember)?|(Dec)(?:ember)?)"
 )
+_HAS_MONTH = r"^(\d{1,2} )?[A-Za-z]{3,9} (\d{1,2},? )?\d{4}$"
 _MONTH_FIRST = r"^" + _MONTH + r" (\d{1,2}),? (\d{4})$"
 _DAY_MONTH = r"^(\d{1,2}) " + _MONTH + r" (\d{4})$"
 _PICK_FIRST = "$13 " + "".join(f"${i}" for i in range(1, 13)) + " $14"
@@ -138,12 +149,19 @@ _PICK_SECOND = "$1 " + "".join(f"${i}" for i in range(2, 14)) + " $14"
 
 
 def date_text(text: Column) -> Column:
-    """Date of present text; each branch reads the text once."""
-    iso = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), _REWRITES, text)
+    """Date of present text."""
+
+    def rewritten(rules: tuple[tuple[str, str], ...]) -> Column:
+        return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, text)
+
+    # A byte search picks the rules, so a cell meets only those of its own form.
+    iso = F.when(F.contains(text, F.lit("/")), rewritten(_SLASH_REWRITES)).otherwise(rewritten(_OTHER_REWRITES))
     worded = F.regexp_replace(
         F.regexp_replace(text, _MONTH_FIRST, _PICK_FIRST), _DAY_MONTH, _PICK_SECOND
     )
-    return F.coalesce(iso.try_cast("date"), F.try_to_date(F.initcap(worded), "d MMM yyyy"))
+    # A failed parse costs an exception per row, so only month names get there.
+    spelled = F.when(text.rlike(_HAS_MONTH), F.try_to_date(F.initcap(worded), "d MMM yyyy"))
+    return F.coalesce(iso.try_cast("date"), spelled)
 
 
 def to_date(c: Column, dtype: T.DataType = STRING) -> Column:
