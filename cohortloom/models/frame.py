@@ -38,6 +38,7 @@ class Outcome:
     event: str
     label: Column
     count: int
+    rows: int
 
 
 @dataclass
@@ -90,14 +91,15 @@ def encode_outcome(df: DataFrame, name: str) -> Outcome:
     if name not in df.columns:
         raise ValueError(f"Outcome variable is not in the clean dataset: {name}")
     label = model_label(F.col(f"`{name}`"), df.schema[name].dataType)
-    found = (
-        df.select(label.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c")).take(3)
-    )
-    if len(found) != 2:
+    # Two labels and perhaps null: a fourth group already means a wrong outcome.
+    found = df.groupBy(label.alias("v")).agg(F.count("*").alias("c")).take(4)
+    labels = [r["v"] for r in found if r["v"] is not None]
+    if len(labels) != 2:
         raise ValueError("Outcome must have exactly two non-missing levels.")
-    reference, event = choose_levels([r["v"] for r in found])
+    reference, event = choose_levels(labels)
     encoded = F.when(label == event, 1).when(label == reference, 0)
-    return Outcome(reference, event, encoded, sum(r["c"] for r in found))
+    known = sum(r["c"] for r in found if r["v"] is not None)
+    return Outcome(reference, event, encoded, known, sum(r["c"] for r in found))
 
 
 def _cell(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
@@ -223,7 +225,7 @@ def build_model_frame(
         rows = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in keep]))
     return ModelFrame(
         rows, [design.terms[i] for i in keep], design.skipped, encoded,
-        df.count(), head["n"], events, head["distinct_x"],
+        encoded.rows, head["n"], events, head["distinct_x"],
     )
 
 

@@ -106,7 +106,7 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
         .groupBy("predictor", "score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    rows = df.count()
+    rows = encoded.rows
     aucs = auc_from_table(scores, ["predictor"])
     info = []
     for name in usable:
