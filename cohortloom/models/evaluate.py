@@ -281,13 +281,11 @@ def loess_curve(
     targets = np.linspace(0.0, 1.0, points)
     k = max(3, min(n, math.ceil(span * n)))
     bandwidth = kth_distances(table, targets, k, head["low"], head["high"])
-    grid = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t"), F.lit(float(h)).alias("h"))
-            for i, (t, h) in enumerate(zip(targets, bandwidth, strict=True))
-        ]
+    grid = ", ".join(
+        f"named_struct('i', {i}, 't', {float(t)!r}D, 'h', {float(h)!r}D)"
+        for i, (t, h) in enumerate(zip(targets, bandwidth, strict=True))
     )
-    rows = table.select("score", "pos", (F.col("pos") + F.col("neg")).alias("n"), F.inline(grid))
+    rows = table.select("score", "pos", (F.col("pos") + F.col("neg")).alias("n"), F.expr(f"inline(array({grid}))"))
     dx, h = F.col("score") - F.col("t"), F.col("h")
     narrow = h <= 1e-12
     # Rows at or beyond the bandwidth weigh nothing; dropping them first saves the cubes.

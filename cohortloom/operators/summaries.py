@@ -95,10 +95,9 @@ def run_summary(sources: DataFrame, report: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows_stub"), F.lit(0)).alias("stub_rows"),
         F.coalesce(F.sum("rows_ingested"), F.lit(0)).alias("ingested_rows"),
         F.array_join(F.array_sort(F.collect_set("adapter")), ", ").alias("adapters"),
-    ).withColumn("_one", F.lit(1))
-    flags = quality_summary(report).withColumn("_one", F.lit(1))
-    # One row on each side.
-    return totals.join(flags, "_one").drop("_one")
+    )
+    flags = quality_summary(report).first()
+    return totals.withColumns({k: F.lit(flags[k]).cast("bigint") for k in ("flagged_records", "quality_flags")})
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ any tables of the same shape, and grows with the number of runs, not with memory
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +29,14 @@ _WORDING = (
 
 
 def _mark_latest(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Mark the newest row (per key) by a broadcastable one-row-per-key aggregate."""
-    key = F.struct(*[F.coalesce(F.col(c), F.lit("")) for c in order])
-    newest = df.groupBy(*(by or [])).agg(F.max(key).alias("_newest"))
-    if by:
-        joined = df.join(newest, by, "left")
-    else:
-        joined = df.withColumn("_one", F.lit(1)).join(newest.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    """Mark the newest row, overall or per key."""
+    key = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(f"k{i}") for i, c in enumerate(order)])
+    if not by:
+        top = df.agg(F.max(key).alias("m")).first()["m"]
+        same = [F.coalesce(F.col(c), F.lit("")) == v for c, v in zip(order, top or [], strict=False)]
+        return df.withColumn("is_latest", reduce(lambda a, b: a & b, same, F.lit(top is not None)))
+    newest = df.groupBy(*by).agg(F.max(key).alias("_newest"))
+    joined = df.join(newest, by, "left")
     return joined.withColumn("is_latest", F.coalesce(key == F.col("_newest"), F.lit(False))).drop("_newest")
 
 
@@ -123,12 +126,13 @@ def latest_analysis_run(artifacts: DataFrame) -> DataFrame:
 
 def stage_status(runs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(position, stage, status): ingestion, analysis and visualization."""
+    zero = F.lit(0).cast("bigint")
+    one = F.count("*")
     counts = (
-        runs.agg(F.count("*").alias("r")).withColumn("_one", F.lit(1))
-        .join(
-            artifacts.agg(F.count("*").alias("a"), F.count("visualization").alias("v")).withColumn("_one", F.lit(1)),
-            "_one",
-        )
+        runs.agg(one.alias("r"))
+        .select("r", zero.alias("a"), zero.alias("v"))
+        .unionByName(artifacts.agg(one.alias("a"), F.count("visualization").alias("v")).withColumn("r", zero))
+        .agg(*[F.max(c).alias(c) for c in "rav"])
     )
     done = {k: F.col(k) > 0 for k in "rav"}
 

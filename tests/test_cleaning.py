@@ -124,3 +124,15 @@ def test_large_mapping_equals_small(spark):
     large, hit = normalize.remap_values(df, field="v", value_mappings={"7": "seven", **{f"x{i}": "y" for i in range(100)}})
     assert sorted(r["v"] for r in small.collect()) == sorted(r["v"] for r in large.collect())
     assert large.filter(hit).count() == 1
+
+
+def test_typed_columns_compare_like_their_text(spark):
+    df = spark.createDataFrame([(5, 1.5, True), (50, float("nan"), False), (None, None, None)], "n int, d double, b boolean")
+
+    def kept(field, operator, value=None):
+        return filters.filter_rows(df, conditions=[{"field": field, "operator": operator, "value": value}]).count()
+
+    assert [kept("n", "equals", v) for v in ("5", " 5 ", 5, "05", "x", None)] == [1, 1, 1, 0, 0, 1]
+    assert kept("n", "not_equals", "05") == 3 and kept("n", "in", "5,50,") == 3 and kept("n", "not_in", [5]) == 2
+    assert kept("d", "gt", 0) == 1 and kept("d", "is_missing") == 2 and kept("d", "equals", "1.5") == 1
+    assert kept("b", "equals", "True") == 1 and kept("b", "equals", "true") == 0
