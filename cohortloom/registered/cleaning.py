@@ -21,6 +21,7 @@ from .base import (
     sql_missing,
     sql_number,
     sql_present,
+    sql_round,
     sql_title,
     table,
 )
@@ -184,7 +185,7 @@ def _(spark, sf):
     "select l_orderkey, l_linenumber, l_partkey, l_suppkey, "
     "round(l_extendedprice + l_quantity, 2) as added, round(l_extendedprice - 10, 2) as reduced, "
     "round(l_extendedprice * l_discount, 4) as scaled, "
-    "case when l_discount <> 0 then round(l_quantity / l_discount, 3) end as divided from lineitem",
+    f"case when l_discount <> 0 then {sql_round('l_quantity / l_discount', 3)} end as divided from lineitem",
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem")
@@ -201,7 +202,7 @@ def _(spark, sf):
 @query(
     "compute_ratio",
     "select l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-    "case when l_tax <> 0 then round(l_discount / l_tax, 3) end as ratio from lineitem",
+    f"case when l_tax <> 0 then {sql_round('l_discount / l_tax', 3)} end as ratio from lineitem",
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem")
@@ -482,7 +483,7 @@ _KEPT_SQL = f"(select * from {_STEPS_SQL} where not stub and o_totalprice >= 100
     "spec_clean_rows",
     f"select o_orderkey as patient_id, o_orderstatus as contributor, {sql_day(sql_date('d'))} as d, {sql_boolean('b')} as b, num as n, "
     "case when lower(title) = '1-urgent' then 'Urgent' when lower(title) = 'f' then null else title end as t, "
-    "case when num <> 0 then round(o_totalprice / num, 6) end as unit, "
+    f"case when num <> 0 then {sql_round('o_totalprice / num', 6)} end as unit, "
     f"try_cast(trunc(num) as integer) as age, {_FLAG_LIST} as flags, 'orders' as source from {_KEPT_SQL}",
 )
 def _(spark, sf):
