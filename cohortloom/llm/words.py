@@ -118,7 +118,7 @@ class Slice:
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """Hash of the `length` words from each place in `at`; another seed is another function."""
-    values = mix(hashes + np.uint64(seed) * _ODD) if seed else hashes
+    values = mix(hashes + np.uint64(seed * int(_ODD) % (1 << 64))) if seed else hashes
     if length <= 8:
         total = np.zeros(len(at), np.uint64)
         for j in range(length):
