@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, html_text, langid, packing, repeats, secret_scan
+from . import chat, decontaminate, fertility, html_text, langid, maxent_lm, ngram_join, packing, repeats, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(_table(spark, sf_dir, "documents"), langid.id_fold(7) == F.lit(2))

@@ -9,12 +9,20 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows under `spark.checkpoint.dir` and read them back with the same schema."""
+    """Write the rows under `spark.checkpoint.dir` and read them back with the same schema.
+    The shuffle files of the write go when it ends; nothing reads them again."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
