@@ -69,7 +69,7 @@ def meet(blobs: DataFrame) -> DataFrame:
 
 
 def slots(spark) -> int:
-    return 4 * partitions(spark)
+    return partitions(spark)
 
 
 def slots_of_keys(keys: np.ndarray, n: int) -> np.ndarray:
