@@ -53,7 +53,7 @@ def _inside(part: Slice, n: int) -> np.ndarray:
     ok = np.ones(max(0, len(part.data) - n + 1), np.bool_)
     for back in range(1, n):
         at = part.offsets[1:-1] - back
-        ok[at[at >= 0]] = False
+        ok[at[(at >= 0) & (at < len(ok))]] = False
     return ok
 
 

@@ -62,7 +62,7 @@ def test_chats_of_empty_table(conversations):
         ("<details><summary>head</summary>body</details><details open><summary>h</summary>b</details>", "head\nh\nb"),
         ("<pre>a  b\n  c</pre>d<br>e", "a  b\n  c\n\nd\ne"),
         ("<!-- no --><title>no</title>a &amp; b&nbsp;c", "a & b\xa0c"),
-        ("<select><option>one<option>two</select>", "onetwo"),
+        ("<select><option>one<option>two</select>", "one\ntwo"),
         ("", ""),
         ("</div></p>stray<td>cell", "straycell"),
         ("<dl><dt>t<dd>d</dl>", "t\n  d"),
@@ -105,7 +105,7 @@ def random_texts():
     words = ["onthtionwhonattionndstshea", "auxauxentionmentmentquerent", "ouleleelleouneaumentations", "verlichkeitenschaftungsweise"]
     rows = []
     for i in range(300):
-        body = " ".join(draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(2, 9))) for _ in range(20)) + " " + words[i % 4] + words[i % 3]
+        body = " ".join(draw("abcdefghijklmnopqrstuvwxyz", int(rng.integers(2, 9))) for _ in range(20)) + " " + words[i % 4] + " " + words[i % 3]
         secret = {0: f'password: "{draw(keys, 12)}"', 1: f"AKIA{draw('ABCDEFGHIJ0123456789', 16)}", 2: draw(hexes, 40), 3: draw(keys, 44)}.get(i % 8, "")
         rows.append((i, f"é {body} {secret} {body}"))
     rows += [(1001, None), (1002, ""), (1003, "token=token :abcdef Token= 'abc123' api_key==aa.bb-cc"), (1004, "AKIA" * 9 + " " + "0" * 30), (1004, "x")]
