@@ -26,6 +26,7 @@ text are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ COMMON_SHARE = 0.005
 COMMON_MOST = 200_000
 _LOW = np.uint64((1 << 48) - 1)
 _ORDER_COMMON = 256
+# A bucket is counted about so many shingles at a time, in passes over its compact blobs.
+_AT_ONCE = 400_000
+# Shingles a sending task gathers before it sends them.
+_GATHER = 400_000
 
 
 def shingle_sets(part: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +94,7 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct sets of about FLUSH shingles: (set keys, sizes, set key of each shingle, shingle)."""
+    """Distinct sets of about _GATHER shingles: (set keys, sizes, set key of each shingle, shingle)."""
     held, size = [], 0
     for batch in batches:
         for part in slices(batch.column(1)):
@@ -97,7 +102,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
             names = set_keys(owner, keys, sizes)
             held.append((names, sizes, names[owner], keys))
             size += len(keys)
-            if size >= exchange.FLUSH:
+            if size >= _GATHER:
                 yield _distinct(held)
                 held, size = [], 0
     if size:
@@ -180,17 +185,16 @@ def _send(common: np.ndarray, n_buckets: int) -> Callable:
 def _count(n_slots: int) -> Callable:
     """Shared tokens of the buckets with their frequency class, back to the slots of sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, tokens, done, sizes = [], [], [], []
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                k, n, raw, dk, dn, dt, sk, sn = exchange.unpack(blob.as_buffer().to_pybytes(), _SENT)
-                keys.append(np.repeat(k, n))
-                tokens.append(_eight(raw, bucket))
-                done.append((np.repeat(dk, dn), dt))
-                sizes.append((sk, sn))
-        if not keys:
-            return
+    blank = [np.empty(0, k) for k in _BACK]
+
+    def shared_of(part: int, parts: int, sent: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        """One of the parts of a bucket's tokens, so that memory stays a fraction of it."""
+        keys, tokens = [], []
+        for bucket, k, n, raw in sent:
+            token = _eight(raw, bucket)
+            mine = (token & np.uint64(parts - 1)) == np.uint64(part)
+            keys.append(np.repeat(k, n)[mine])
+            tokens.append(token[mine])
         key, token = np.concatenate(keys), np.concatenate(tokens)
         del keys, tokens
         order = np.lexsort((key, token))
@@ -198,30 +202,43 @@ def _count(n_slots: int) -> Callable:
         new = np.ones(len(key), np.bool_)
         new[1:] = (key[1:] != key[:-1]) | (token[1:] != token[:-1])
         key, token = key[new], token[new]
-        _, counts = exchange.runs(token)
+        counts = exchange.runs(token)[1]
         frequency = np.repeat(counts, counts)
         shared = frequency > 1
         key, token = key[shared], token[shared]
         grade = np.minimum(8 * np.log2(frequency[shared]), _ORDER_COMMON - 1).astype(np.uint8)
         order = np.lexsort((key, token >> np.uint64(48)))
         key, token, grade = key[order], token[order], grade[order]
-        blank = [np.empty(0, k) for k in _BACK]
-        out = []
         ends = np.cumsum(exchange.runs(token >> np.uint64(48))[1], dtype=np.int64).tolist()
         for low, high in zip([0, *ends], ends, strict=False):
             bucket = np.array([token[low] >> np.uint64(48)], np.uint32)
             part = slice(low, high)
             for s, (k, t, g) in exchange.parted(exchange.slots_of_keys(key[part], n_slots), (key[part], token[part], grade[part])):
-                out.append((s, exchange.pack([bucket, *exchange.runs(k), _six(t), g, *blank[5:]])))
-        dk, dt = (np.concatenate(c) for c in zip(*done, strict=True))
-        order = np.argsort(dk, kind="stable")
-        for s, (k, t) in exchange.parted(exchange.slots_of_keys(dk, n_slots)[order], (dk[order], dt[order])):
-            out.append((s, exchange.pack([*blank[:5], *exchange.runs(k), t, *blank[8:]])))
-        sk, sn = (np.concatenate(c) for c in zip(*sizes, strict=True))
-        for s, (k, n) in exchange.parted(exchange.slots_of_keys(sk, n_slots), (sk, sn)):
-            out.append((s, exchange.pack([*blank[:8], k, n])))
-        for low in range(0, len(out), 256):
-            yield exchange.batch(*map(list, zip(*out[low : low + 256], strict=True)), name="slot")
+                yield s, exchange.pack([bucket, *exchange.runs(k), _six(t), g, *blank[5:]])
+
+    def passed_on(done: list[tuple], sizes: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        key, token = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.argsort(key, kind="stable")
+        for s, (k, t) in exchange.parted(exchange.slots_of_keys(key, n_slots)[order], (key[order], token[order])):
+            yield s, exchange.pack([*blank[:5], *exchange.runs(k), t, *blank[8:]])
+        key, n = (np.concatenate(c) for c in zip(*sizes, strict=True))
+        for s, (k, m) in exchange.parted(exchange.slots_of_keys(key, n_slots), (key, n)):
+            yield s, exchange.pack([*blank[:8], k, m])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, done, sizes = [], [], []
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                k, n, raw, dk, dn, dt, sk, sn = exchange.unpack(blob.as_buffer().to_pybytes(), _SENT)
+                sent.append((bucket, k, n, raw))
+                done.append((np.repeat(dk, dn), dt))
+                sizes.append((sk, sn))
+        if not sent:
+            return
+        parts = 1 << (sum(len(raw) for *_, raw in sent) // 6 // _AT_ONCE).bit_length()
+        for found in (passed_on(done, sizes), *(shared_of(part, parts, sent) for part in range(parts))):
+            while some := list(islice(found, 256)):
+                yield exchange.batch(*map(list, zip(*some, strict=True)), name="slot")
 
     return run
 
