@@ -40,6 +40,19 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def plain_decimal(c: Column) -> Column:
+    """Text of a double without an exponent: 12345678.0, 0.0001."""
+    text = c.cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    power = F.substring_index(text, "E", -1).cast("int")
+    digits = F.regexp_replace(F.ltrim(F.substring_index(text, "E", 1), F.lit("-")), r"\.0$|\.", "")
+    whole = F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."))
+    rest = F.substring(digits, power + 2, F.length(digits))
+    large = F.concat(whole, F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.when(F.contains(text, F.lit("E")), F.concat(sign, F.when(power >= 0, large).otherwise(small))).otherwise(text)
+
+
 def text_form(c: Column, dtype: T.DataType = STRING) -> Column:
     """The cell as text; booleans read True/False, NaN is null."""
     if isinstance(dtype, T.StringType):
@@ -47,7 +60,7 @@ def text_form(c: Column, dtype: T.DataType = STRING) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "True").when(~c, "False")
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c.cast("string"))
+        return F.when(~F.isnan(c), plain_decimal(c))
     if is_nested(dtype):
         return F.to_json(c)
     return c.cast("string")

@@ -12,15 +12,8 @@ from ..functions import fixed_values as fv
 from ..functions.scalars import model_label, text_form, to_number
 from ..operators.normalize import staged
 
-# More indicator levels than this make a column a text field, not a factor.
-MAX_LEVELS = 1000
-
-# A frame is folded to distinct rows with counts when that at least halves it.
-FOLD_SHARE = 0.5
-
-# Folded frames up to this many rows are passed over by one task: less work per
-# Newton step than starting several.
-ONE_TASK_ROWS = 5000
+# Columns that surely have more distinct cells than this need no list of them to tell their kind.
+_LISTED = 16
 
 
 @dataclass(frozen=True)
@@ -47,9 +40,6 @@ class Design:
     skipped: list[dict[str, str]] = field(default_factory=list)
     kinds: dict[str, str] = field(default_factory=dict)
 
-    def skip(self, predictor: str, reason: str) -> None:
-        self.skipped.append({"predictor": predictor, "reason": reason})
-
 
 @dataclass
 class ModelFrame:
@@ -62,20 +52,15 @@ class ModelFrame:
     input_rows: int
     n: int
     events: int
-    distinct_x: int
 
     def cells(self, rows: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-        """(label, x, extra..., n): distinct rows with counts when that pays."""
-        return fold(self.df if rows is None else rows, ["label", "x", *extra], self.n, self.distinct_x)
+        """(label, x, extra..., n): distinct rows with counts."""
+        return fold(self.df if rows is None else rows, ["label", "x", *extra])
 
 
-def fold(rows: DataFrame, keys: list[str], n: int, distinct_x: int) -> DataFrame:
-    if distinct_x <= FOLD_SHARE * n:
-        cells = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    else:
-        cells = rows.select(*keys, F.lit(1).cast("bigint").alias("n"))
-    # Distinct rows carry at most two labels and a few folds per covariate row.
-    return cells.repartition(1) if min(n, 10 * distinct_x) <= ONE_TASK_ROWS else cells
+def fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows with counts; equal rows combine before the shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def choose_levels(values: list[str]) -> tuple[str, str]:
@@ -106,24 +91,32 @@ def _cell(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return F.col(f"`{name}`"), df.schema[name].dataType
 
 
-def build_design(df: DataFrame, predictors: list[str], outcome: str | None = None) -> Design:
-    """Decide the type and terms of every predictor in two small passes.
+@dataclass
+class Kinds:
+    """What each usable predictor is, and the few cells that told it."""
+
+    kinds: dict[str, str]
+    values: dict[str, list[str]]
+    labels: dict[str, list[str]]
+    skipped: list[dict[str, str]]
 
-    Pass one counts; pass two lists levels, only for columns already known to
-    have few, so what reaches the driver is bounded by ``MAX_LEVELS``.
+
+def predictor_kinds(df: DataFrame, predictors: list[str], outcome: str | None = None) -> Kinds:
+    """numeric, binary or categorical, in two small passes.
+
+    Pass one counts. Pass two lists cells and labels only where there are few of them, so
+    the driver holds a few words per predictor, however many levels a column has.
     """
-    design = Design()
+    found = Kinds({}, {}, {}, [])
     usable = []
     for name in dict.fromkeys(predictors):
-        if name == outcome:
-            design.skip(name, "Predictor matches the outcome.")
-        elif name not in df.columns:
-            design.skip(name, "Predictor is not in the clean dataset.")
-        else:
+        if name != outcome and name in df.columns:
             usable.append(name)
+            continue
+        reason = "It is the outcome itself." if name == outcome else "The clean table has no such column."
+        found.skipped.append({"predictor": name, "reason": reason})
     if not usable:
-        return design
-
+        return found
     counts = []
     for i, name in enumerate(usable):
         cell, dtype = _cell(df, name)
@@ -132,64 +125,69 @@ def build_design(df: DataFrame, predictors: list[str], outcome: str | None = Non
             F.count(text).alias(f"n{i}"),
             F.count(to_number(cell, dtype)).alias(f"m{i}"),
             F.approx_count_distinct(text).alias(f"d{i}"),
+            F.approx_count_distinct(F.when(text.isNotNull(), model_label(cell, dtype))).alias(f"l{i}"),
         ]
     head = df.agg(*counts).first()
-    few = [n for i, n in enumerate(usable) if head[f"d{i}"] <= MAX_LEVELS * 1.2]
-    levels: dict[str, list[tuple[str, str]]] = {n: [] for n in few}
-    if few:
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(n).alias("predictor"),
-                    text_form(*_cell(df, n)).alias("value"),
-                    model_label(*_cell(df, n)).alias("label"),
-                )
-                for n in few
-            ]
-        )
-        listed = df.select(F.inline(cells)).filter("value is not null").distinct()
-        for row in listed.collect():
-            levels[row["predictor"]].append((row["value"], row["label"]))
-
+    cells = []
     for i, name in enumerate(usable):
         cell, dtype = _cell(df, name)
-        many = name not in levels
-        distinct = head[f"d{i}"] if many else len(levels[name])
-        if distinct < 2:
-            design.skip(name, "Predictor has fewer than two observed levels.")
+        text = text_form(cell, dtype)
+        for what, value in (("d", text), ("l", F.when(text.isNotNull(), model_label(cell, dtype)))):
+            if head[f"{what}{i}"] <= _LISTED:
+                cells.append(F.struct(F.lit(i).alias("i"), F.lit(what).alias("what"), value.alias("value")))
+    listed: dict[tuple[int, str], list[str]] = {}
+    if cells:
+        for row in df.select(F.inline(F.array(*cells))).filter("value is not null").distinct().collect():
+            listed.setdefault((row["i"], row["what"]), []).append(row["value"])
+    for i, name in enumerate(usable):
+        values = listed.get((i, "d"), []) if head[f"d{i}"] <= _LISTED else None
+        labels = listed.get((i, "l"), []) if head[f"l{i}"] <= _LISTED else None
+        if values is not None and len(values) < 2:
+            found.skipped.append({"predictor": name, "reason": "Fewer than two different values are present."})
             continue
-        if head[f"m{i}"] == head[f"n{i}"] and distinct > 2:
-            design.kinds[name] = "numeric"
+        if head[f"m{i}"] == head[f"n{i}"] and (values is None or len(values) > 2):
+            found.kinds[name] = "numeric"
+        elif labels is not None and len(labels) == 2:
+            found.kinds[name], found.labels[name] = "binary", sorted(labels)
+        else:
+            found.kinds[name] = "categorical"
+            if values is not None:
+                found.values[name] = sorted(values)
+    return found
+
+
+def build_design(df: DataFrame, predictors: list[str], outcome: str | None = None) -> Design:
+    """Terms of every predictor. A categorical column has a term per level but the first, so
+    its levels come to the driver as the coefficients will."""
+    known = predictor_kinds(df, predictors, outcome)
+    design = Design(skipped=known.skipped, kinds=known.kinds)
+    wide = [n for n, kind in known.kinds.items() if kind == "categorical" and n not in known.values]
+    if wide:
+        cells = F.array(*[F.struct(F.lit(n).alias("name"), text_form(*_cell(df, n)).alias("value")) for n in wide])
+        for row in df.select(F.inline(cells)).filter("value is not null").distinct().collect():
+            known.values.setdefault(row["name"], []).append(row["value"])
+    for name, kind in known.kinds.items():
+        cell, dtype = _cell(df, name)
+        if kind == "numeric":
             design.terms.append(Term(name, name, "numeric", None, to_number(cell, dtype)))
-            continue
-        if many or distinct > MAX_LEVELS:
-            design.skip(name, f"Predictor has more than {MAX_LEVELS} levels.")
-            continue
-        labels = sorted({label for _, label in levels[name]})
-        if len(labels) == 2:
-            design.kinds[name] = "binary"
-            reference, event = choose_levels(labels)
+        elif kind == "binary":
+            reference, event = choose_levels(known.labels[name])
             label = model_label(cell, dtype)
             value = F.when(label == event, 1.0).when(label == reference, 0.0)
             design.terms.append(Term(f"{name}: {event}", name, "indicator", reference, value))
-            continue
-        design.kinds[name] = "categorical"
-        values = sorted(value for value, _ in levels[name])
-        text = text_form(cell, dtype)
-        for value in values[1:]:
-            design.terms.append(
-                Term(f"{name}: {value}", name, "indicator", values[0], (text == value).cast("double"))
-            )
+        else:
+            first, *others = sorted(known.values[name])
+            text = text_form(cell, dtype)
+            for value in others:
+                design.terms.append(Term(f"{name}: {value}", name, "indicator", first, (text == value).cast("double")))
     return design
 
 
 def _usable_terms(df: DataFrame, terms: list[Term], extra: list[Column]) -> tuple[list[int], dict]:
     """Indexes of terms that vary on the complete cases, and the counts taken on the way."""
-    spread = [F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(len(terms))]
-    head = df.agg(
-        F.count("*").alias("n"), F.approx_count_distinct("x", 0.02).alias("distinct_x"), *extra, *spread
-    ).first().asDict()
-    keep = [i for i in range(len(terms)) if (head[f"s{i}"] or 0.0) > fv.MIN_SPREAD]
+    spread = [F.stddev_pop(F.get("x", F.lit(i))) for i in range(len(terms))]
+    head = df.agg(F.count("*").alias("n"), *extra, F.array(*spread).alias("spread")).first().asDict()
+    keep = [i for i, s in enumerate(head.pop("spread")) if (s or 0.0) > fv.MIN_SPREAD]
     return keep, head
 
 
@@ -225,7 +223,7 @@ def build_model_frame(
         rows = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in keep]))
     return ModelFrame(
         rows, [design.terms[i] for i in keep], design.skipped, encoded,
-        encoded.rows, head["n"], events, head["distinct_x"],
+        encoded.rows, head["n"], events,
     )
 
 

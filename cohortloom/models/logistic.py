@@ -7,16 +7,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.stats import clipped_exp, rounded, two_sided_normal_p
 from ..session import materialize
 from .evaluate import auc, auc_from_table
-from .frame import ONE_TASK_ROWS, ModelFrame, Term, stratified_folds
-from .newton import OutsideFold, batch_arrays, fit_batch, linear_score, sigmoid, standard_errors
+from .frame import ModelFrame, Term, stratified_folds
+from .newton import OutsideFold, batch_arrays, fit_batch, linear_score, sigmoid, standard_errors, whole_chunks
 
 TERM_SCHEMA = (
     "term string, predictor string, kind string, reference_level string, coefficient double, "
@@ -156,60 +155,68 @@ def cross_validated_auc(frame: ModelFrame, row_keys: list[str]) -> CrossValidati
 # ---------------------------------------------------------------- bootstrap
 
 
+_BUCKETS = 1 << 12
+_CHUNK = 64
+
+
 class Resample:
     """Multinomial counts of bootstrap replicates, drawn where the cells are.
 
-    n draws with replacement are split over partitions, a partition's share over
-    its Arrow batches, and a batch's share over its cells; together that is one
-    draw of n rows. Every draw is seeded by its place, and the cells are stored,
-    so a task that runs again draws the same counts.
+    n draws with replacement are split over hash buckets of the cells, a bucket's share over
+    chunks of 64 cells in key order, and a chunk's share over its cells; together that is one
+    draw of n rows. Bucket, order and chunk follow from the cells alone and seed every draw,
+    so partitions, batches and repeated tasks do not change a replicate.
     """
 
     def __init__(self, seed: int, replicates: int, totals: dict[int, int]):
         self.seed, self.replicates = seed, replicates
-        self.partitions = sorted(totals)
-        self.totals = np.array([totals[p] for p in self.partitions], dtype=np.int64)
-        self.place: tuple[int, int] | None = None
-
-    def _enter(self, place: tuple[int, int], rows: int) -> None:
-        partition, _ = place
-        if self.place is None or self.place[0] != partition:
+        self.buckets = sorted(totals)
+        self.totals = np.array([totals[b] for b in self.buckets], dtype=np.int64)
+        self.split: np.ndarray | None = None
+        self.bucket = self.last = -1
+
+    def _chunk(self, chunk: int, n: np.ndarray) -> np.ndarray:
+        """cells x replicates counts of one chunk; chunks of a bucket come in order."""
+        bucket = chunk >> 40
+        if self.split is None:
             total = int(self.totals.sum())
-            split = np.random.default_rng([self.seed, 0]).multinomial(
-                total, self.totals / total, size=self.replicates
-            )
-            at = self.partitions.index(partition)
-            self.draws_left, self.rows_left = split[:, at].copy(), int(self.totals[at])
-        share = min(1.0, rows / self.rows_left)
-        rng = np.random.default_rng([self.seed, 1, *place])
-        self.draws = rng.binomial(self.draws_left, share)
-        self.draws_left = self.draws_left - self.draws
-        self.rows_left -= rows
-        self.place = place
-
-    def __call__(self, n, fold, place, models):
-        if self.place != place:
-            self._enter(place, int(n.sum()))
-        share = n / n.sum()
-        out = np.empty((len(n), len(models)))
-        for i, model in enumerate(models):
-            rng = np.random.default_rng([self.seed, 2, int(model), *place])
-            out[:, i] = rng.multinomial(self.draws[model], share)
-        return out
-
-
-def _partition_totals(cells: DataFrame) -> dict[int, int]:
-    """Rows per stored partition: one pair per partition reaches the driver."""
+            rng = np.random.default_rng([self.seed, 0])
+            self.split = rng.multinomial(total, self.totals / total, size=self.replicates).astype(np.int64)
+        if bucket != self.bucket or chunk <= self.last:
+            at = self.buckets.index(bucket)
+            self.left, self.rows, self.bucket = self.split[:, at].copy(), int(self.totals[at]), bucket
+        rng = np.random.default_rng([self.seed, 1, chunk])
+        draws = rng.binomial(self.left, min(1.0, float(n.sum()) / self.rows))
+        self.left, self.rows, self.last = self.left - draws, self.rows - int(n.sum()), chunk
+        return rng.multinomial(draws, n / n.sum()).T
 
-    def scan(batches):
-        total = sum(int(np.sum(b.column(0).to_numpy(zero_copy_only=False))) for b in batches)
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total], pa.int64())],
-                names=["p", "n"],
-            )
+    def enter(self, n: np.ndarray, chunk: np.ndarray) -> None:
+        """Draw the counts of a batch of whole chunks."""
+        edges = np.flatnonzero(np.diff(chunk, prepend=-1))
+        self.counts = np.concatenate([self._chunk(int(chunk[a]), n[a:b]) for a, b in zip(edges, [*edges[1:], len(n)], strict=True)])
+
+    def __call__(self, n, fold, chunk, models):
+        return self.counts[:, models].astype(float)
 
-    return {r["p"]: r["n"] for r in cells.select("n").mapInArrow(scan, "p int, n bigint").collect()}
+
+def _chunked(cells: DataFrame) -> DataFrame:
+    """Cells with their chunk: bucket in the high bits, place in the bucket above the low six.
+
+    A bucket is whole and in key order inside one partition.
+    """
+    keys = ["label", "x"]
+    spark = cells.sparkSession
+    bucketed = cells.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)))
+    rows = bucketed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*keys)) - 1
+    chunk = F.shiftleft("bucket", 40) + F.floor(place / _CHUNK)
+    return rows.withColumn("chunk", chunk).sortWithinPartitions("chunk", *keys).drop("bucket")
+
+
+def _bucket_totals(cells: DataFrame) -> dict[int, int]:
+    """Rows per bucket: at most 4,096 pairs."""
+    rows = cells.groupBy(F.shiftright("chunk", 40).alias("b")).agg(F.sum("n").alias("n")).collect()
+    return {int(r["b"]): int(r["n"]) for r in rows}
 
 
 @dataclass
@@ -230,16 +237,14 @@ def _replicate_scores(cells: DataFrame, betas: np.ndarray, models: np.ndarray, d
     """(model, score, label, drawn, n): every cell scored by every replicate."""
 
     def scan(batches):
-        partition = TaskContext.get().partitionId()
-        for index, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            x, y, n, fold = batch_arrays(batch)
+        for batch in whole_chunks(batches):
+            x, y, n, fold, chunk = batch_arrays(batch)
+            draw.enter(n, chunk)
             step = max(1, 500_000 // len(y))
             for at in range(0, len(models), step):
                 part = models[at : at + step]
                 scores = sigmoid(x @ betas[part].T)
-                drawn = draw(n, fold, (partition, index), part)
+                drawn = draw(n, fold, chunk, part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.tile(part.astype(np.int32), len(y))),
@@ -251,7 +256,7 @@ def _replicate_scores(cells: DataFrame, betas: np.ndarray, models: np.ndarray, d
                     names=["model", "score", "label", "drawn", "n"],
                 )
 
-    return cells.select("x", "label", "n").mapInArrow(
+    return cells.select("x", "label", "n", "chunk").mapInArrow(
         scan, "model int, score double, label int, drawn bigint, n bigint"
     )
 
@@ -265,13 +270,8 @@ def bootstrap_validation(
     """Optimism-corrected AUC and percentile intervals from n-out-of-n resamples."""
     if apparent is None:
         return Bootstrap("fallback", "apparent AUC could not be estimated", 0, replicates)
-    keys = ["label", "x"]
-    cells = frame.cells()
-    if min(frame.n, 10 * frame.distinct_x) > ONE_TASK_ROWS:
-        cells = cells.repartition(*keys)
-    # Stored in a fixed order: resample counts belong to places in this table.
-    cells = materialize(cells.sortWithinPartitions(*keys))
-    draw = Resample(seed, replicates, _partition_totals(cells))
+    cells = materialize(_chunked(frame.cells()))
+    draw = Resample(seed, replicates, _bucket_totals(cells))
     fits = fit_batch(cells, len(frame.terms), replicates, draw)
     models = np.nonzero(fits.usable)[0]
     skipped = replicates - len(models)

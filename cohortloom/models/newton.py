@@ -12,17 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 
-# weights(cell counts, fold ids, (partition, batch), model ids) -> cells x models
-Weights = Callable[[np.ndarray, np.ndarray, tuple[int, int], np.ndarray], np.ndarray]
+# weights(cell counts, fold ids, chunk ids or None, model ids) -> cells x models
+Weights = Callable[[np.ndarray, np.ndarray, "np.ndarray | None", np.ndarray], np.ndarray]
 
 
-def all_rows(n: np.ndarray, fold: np.ndarray, place: tuple[int, int], models: np.ndarray) -> np.ndarray:
+def all_rows(n: np.ndarray, fold: np.ndarray, chunk: np.ndarray | None, models: np.ndarray) -> np.ndarray:
     return np.repeat(n[:, None], len(models), axis=1)
 
 
@@ -32,7 +31,7 @@ class OutsideFold:
 
     folds: tuple[int, ...]
 
-    def __call__(self, n, fold, place, models):
+    def __call__(self, n, fold, chunk, models):
         own = np.asarray(self.folds)[models]
         return n[:, None] * (fold[:, None] != own[None, :])
 
@@ -43,7 +42,7 @@ class InsideFold:
 
     folds: tuple[int, ...]
 
-    def __call__(self, n, fold, place, models):
+    def __call__(self, n, fold, chunk, models):
         own = np.asarray(self.folds)[models]
         return n[:, None] * (fold[:, None] == own[None, :])
 
@@ -52,17 +51,38 @@ def sigmoid(eta: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(eta, -fv.SIGMOID_CLIP, fv.SIGMOID_CLIP)))
 
 
-def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(X with intercept, y, n, fold) of one Arrow batch."""
+def batch_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(X with intercept, y, n, fold, chunk) of one Arrow batch."""
     column = batch.column(batch.schema.get_field_index("x"))
     rows = batch.num_rows
     flat = column.flatten().to_numpy(zero_copy_only=False)
     x = np.column_stack([np.ones(rows), flat.reshape(rows, -1)])
-    y = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-    n = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
-    at = batch.schema.get_field_index("fold")
-    fold = batch.column(at).to_numpy(zero_copy_only=False) if at >= 0 else np.zeros(rows, dtype=int)
-    return x, y.astype(float), n.astype(float), fold
+    y, n, fold, chunk = (
+        batch.column(at).to_numpy(zero_copy_only=False) if (at := batch.schema.get_field_index(name)) >= 0 else None
+        for name in ("label", "n", "fold", "chunk")
+    )
+    return x, y.astype(float), n.astype(float), np.zeros(rows, dtype=int) if fold is None else fold, chunk
+
+
+def whole_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in order; where there is a column ``chunk``, none is split over batches."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if "chunk" not in batch.schema.names:
+            yield batch
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        chunk = batch.column(batch.schema.get_field_index("chunk")).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(chunk != chunk[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
 
 
 @dataclass
@@ -76,10 +96,17 @@ class PassSums:
     events: np.ndarray
 
 
-_SUM_SCHEMA = "model int, idx int, value double"
+_SUM_SCHEMA = "model int, sums binary"
 _BLOCK_ELEMENTS = 4_000_000
 
 
+def _curvature(x: np.ndarray, w: np.ndarray, upper: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Upper triangle of X'WX for each column of weights."""
+    if len(upper[0]) <= w.shape[1] * x.shape[1]:
+        return w.T @ (x[:, upper[0]] * x[:, upper[1]])
+    return np.stack([((x * w[:, [m]]).T @ x)[upper] for m in range(w.shape[1])])
+
+
 def newton_sums(
     cells: DataFrame,
     betas: np.ndarray,
@@ -93,45 +120,52 @@ def newton_sums(
     width = p + len(upper[0]) + 3
     floor = fv.PROBABILITY_FLOOR
 
+    def rows_of(sums: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(models.astype(np.int32)), pa.array([r.tobytes() for r in sums], pa.binary())], ["model", "sums"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
         sums = np.zeros((len(models), width))
         seen = False
-        for index, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        enter = getattr(weights, "enter", None)  # draws that are made once a batch
+        for batch in whole_chunks(batches):
             seen = True
-            x, y, n, fold = batch_arrays(batch)
-            products = x[:, upper[0]] * x[:, upper[1]] if second_order else None
+            x, y, n, fold, chunk = batch_arrays(batch)
+            if enter:
+                enter(n, chunk)
             # Blocks of models keep the cells x models matrices small.
             step = max(1, _BLOCK_ELEMENTS // len(y))
             for at in range(0, len(models), step):
                 part = slice(at, at + step)
                 prob = np.clip(sigmoid(x @ betas[part].T), floor, 1 - floor)
-                w = weights(n, fold, (partition, index), models[part])
+                w = weights(n, fold, chunk, models[part])
                 sums[part, :p] += (w * (y[:, None] - prob)).T @ x
                 if second_order:
-                    sums[part, p:-3] += (w * prob * (1 - prob)).T @ products
+                    rows = max(1, _BLOCK_ELEMENTS // max(p, min(len(upper[0]), w.shape[1] * p)))
+                    for low in range(0, len(y), rows):
+                        some = slice(low, low + rows)
+                        sums[part, p:-3] += _curvature(x[some], w[some] * prob[some] * (1 - prob[some]), upper)
                 logs = np.where(y[:, None] == 1, np.log(prob), np.log(1 - prob))
                 sums[part, -3] += (w * logs).sum(axis=0)
                 sums[part, -2] += w.sum(axis=0)
                 sums[part, -1] += (w * y[:, None]).sum(axis=0)
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(models.astype(np.int32), width)),
-                    pa.array(np.tile(np.arange(width, dtype=np.int32), len(models))),
-                    pa.array(sums.ravel()),
-                ],
-                names=["model", "idx", "value"],
-            )
-
-    needed = [c for c in ("x", "label", "n", "fold") if c in cells.columns]
+            yield rows_of(sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for model, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[model] = total.get(model, 0.0) + np.frombuffer(raw.as_buffer())
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["model", "sums"])
+
+    needed = [c for c in ("x", "label", "n", "fold", "chunk") if c in cells.columns]
     partial = cells.select(*needed).mapInArrow(scan, _SUM_SCHEMA)
-    total = partial.groupBy("model", "idx").agg(F.sum("value").alias("value")).toPandas()
     place = {int(m): i for i, m in enumerate(models)}
     out = np.zeros((len(models), width))
-    out[total["model"].map(place).to_numpy(), total["idx"].to_numpy()] = total["value"].to_numpy()
+    # One row a model; the driver holds the sums it needs for the solve, and no more.
+    for row in partial.repartition("model").mapInArrow(add, _SUM_SCHEMA).collect():
+        out[place[row["model"]]] = np.frombuffer(row["sums"])
     hessian = np.zeros((len(models), p, p))
     hessian[:, upper[0], upper[1]] = out[:, p:-3]
     hessian[:, upper[1], upper[0]] = out[:, p:-3]

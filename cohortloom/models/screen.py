@@ -17,13 +17,13 @@ from ..functions import fixed_values as fv
 from ..functions.scalars import model_label, text_form, to_number
 from ..session import materialize
 from .evaluate import auc_from_table, roc_from_table
-from .frame import Design, Outcome, build_design, encode_outcome
+from .frame import Kinds, Outcome, choose_levels, encode_outcome, predictor_kinds
 
 
 @dataclass
 class Screen:
     outcome: Outcome
-    design: Design
+    design: Kinds
     leaderboard: DataFrame
     scores: DataFrame
     skipped: list[dict[str, str]]
@@ -32,7 +32,7 @@ class Screen:
         return roc_from_table(self.scores, ["predictor"])
 
 
-def _long_counts(df: DataFrame, outcome: Outcome, design: Design) -> DataFrame:
+def _long_counts(df: DataFrame, outcome: Outcome, design: Kinds) -> DataFrame:
     """(predictor, number, level, pos, neg): value counts per class."""
     cells = []
     for name, kind in design.kinds.items():
@@ -61,7 +61,7 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
     encoded = encode_outcome(df, outcome)
     if not predictors:
         raise ValueError("Select at least one predictor variable.")
-    design = build_design(df.filter(encoded.label.isNotNull()), predictors, outcome)
+    design = predictor_kinds(df.filter(encoded.label.isNotNull()), predictors, outcome)
     spark = df.sparkSession
     if not design.kinds:
         empty = spark.createDataFrame([], "predictor string, auc double, n bigint, events bigint")
@@ -77,6 +77,7 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
         F.min(F.when(pos > 0, x)).alias("p_lo"), F.max(F.when(pos > 0, x)).alias("p_hi"),
         F.min(F.when(neg > 0, x)).alias("q_lo"), F.max(F.when(neg > 0, x)).alias("q_hi"),
         F.max(((pos == 0) | (neg == 0)).cast("int")).alias("pure_level"),
+        F.min("level").alias("first_level"),
     ).collect()
     by_name = {r["predictor"]: r for r in facts}
     skipped = list(design.skipped)
@@ -84,11 +85,11 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
     for name in design.kinds:
         r = by_name.get(name)
         if r is None:
-            skipped.append({"predictor": name, "reason": "No complete cases."})
+            skipped.append({"predictor": name, "reason": "No row has both values."})
         elif not r["p"] or not r["q"]:
-            skipped.append({"predictor": name, "reason": "Complete cases do not include both outcome classes."})
+            skipped.append({"predictor": name, "reason": "Only one outcome class has complete cases."})
         elif r["levels"] < 2:
-            skipped.append({"predictor": name, "reason": "Predictor has fewer than two observed levels."})
+            skipped.append({"predictor": name, "reason": "Fewer than two different values are present."})
         else:
             usable.append(name)
             if design.kinds[name] == "numeric":
@@ -111,7 +112,9 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
     info = []
     for name in usable:
         r = by_name[name]
-        terms = [t for t in design.terms if t.predictor == name]
+        kind = design.kinds[name]
+        reference = None if kind == "numeric" else choose_levels(design.labels[name])[0] if kind == "binary" else r["first_level"]
+        terms = r["levels"] - 1 if kind == "categorical" else 1
         separated = design.kinds[name] == "numeric" and (
             r["p_lo"] > r["q_hi"] or r["q_lo"] > r["p_hi"]
         )
@@ -121,7 +124,7 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
         if min(r["p"], r["q"]) < fv.LOW_CLASS_COUNT:
             warnings.append("Low event or non-event count.")
         n = r["p"] + r["q"]
-        info.append((name, len(terms), terms[0].reference, rows - n, "; ".join(warnings)))
+        info.append((name, terms, reference, rows - n, "; ".join(warnings)))
     table = spark.createDataFrame(
         info, "predictor string, term_count int, reference_level string, missing bigint, warnings string"
     )

@@ -14,7 +14,8 @@ def pivot_long(
     columns: str,
     values: str,
     prefix: str = "",
-    order_by: str | None = None,
+    *,
+    order_by: str,
     column_values: list[str] | None = None,
 ) -> DataFrame:
     """Long to wide: the first present value per (index, column) by ``order_by``.
@@ -23,10 +24,10 @@ def pivot_long(
     map side, so a hot index never travels whole. Pass ``column_values`` when
     they are known: it saves the job that lists them.
     """
-    for name in (index, columns, values):
+    for name in (index, columns, values, order_by):
         if name not in df.columns:
             raise ValueError(f"Pivot field is not in the join data file: {name}")
-    order = F.col(f"`{order_by}`") if order_by else F.col(f"`{values}`")
+    order = F.col(f"`{order_by}`")
     narrow = df.select(
         F.col(f"`{index}`").alias("_i"), F.col(f"`{columns}`").cast("string").alias("_c"),
         F.col(f"`{values}`").alias("_v"), order.alias("_o"),

@@ -11,22 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How each condition operator reads in rule text.
-_WORDING = (
-    ("is_missing", " is missing", False),
-    ("is_not_missing", " is present", False),
-    ("equals", " equals ", True),
-    ("not_equals", " does not equal ", True),
-    ("contains", " contains ", True),
-    ("not_contains", " does not contain ", True),
-    ("gt", " > ", True),
-    ("gte", " >= ", True),
-    ("lt", " < ", True),
-    ("lte", " <= ", True),
-    ("in", " in ", True),
-    ("not_in", " not in ", True),
-)
-
+from ..operators.filters import WORDING
 
 def _mark_latest(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Mark the newest row, overall or per key."""
@@ -247,8 +232,9 @@ def spec_filters(specs: DataFrame) -> DataFrame:
     def sentence(c: Column) -> Column:
         operator = F.coalesce(c["operator"], F.lit("equals"))
         text = F.concat(F.lit(" "), operator)
-        for name, words, valued in reversed(_WORDING):
-            value = F.concat(F.lit(words), F.coalesce(c["value"], F.lit("None"))) if valued else F.lit(words)
+        for name, words in WORDING.items():
+            lead, valued, _ = f" {words}".partition("{}")
+            value = F.concat(F.lit(lead), F.coalesce(c["value"], F.lit("None"))) if valued else F.lit(lead)
             text = F.when(operator == name, value).otherwise(text)
         return F.concat(F.coalesce(c["field"], F.lit("field")), text)
 

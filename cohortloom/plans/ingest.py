@@ -172,8 +172,8 @@ def run_ingestion(
         mine = written.filter(F.col("_adapter") == name)
         sources.append(compiled.source_summary(mine))
         metrics.append(compiled.step_metrics(mine).withColumn("adapter", F.lit(name)))
-    source_table = union_by_name(sources).withColumn("run_id", F.lit(run.run_id))
-    store.append("run_sources", source_table.coalesce(1))
+    source_table = _every_source(ws, compiled_by_adapter, union_by_name(sources))
+    store.append("run_sources", source_table.withColumn("run_id", F.lit(run.run_id)))
     stored_sources = store.table("run_sources").filter(F.col("run_id") == run.run_id)
     totals = run_summary(stored_sources, store.quality_report(run.run_id)).first().asDict()
 
@@ -193,6 +193,18 @@ def run_ingestion(
     return run
 
 
+def _every_source(ws: Workspace, compiled: dict[str, tuple[list[str], CompiledSpec]], found: DataFrame) -> DataFrame:
+    """A row for every file that was read; a file without rows has zero counts."""
+    listed = [
+        (name, _file_name(path), c.spec.get("spec_id"), str(c.spec["version"]) if c.spec.get("version") is not None else None)
+        for name, (paths, c) in compiled.items()
+        for path in paths
+    ]
+    files = ws.spark.createDataFrame(listed, "adapter string, file string, spec_id string, spec_version string")
+    counts = found.drop("spec_id", "spec_version")
+    return files.join(counts, ["adapter", "file"], "left").na.fill(0, ["rows_raw", "rows_stub", "rows_ingested"]).select(found.columns)
+
+
 def run_and_save(ws: Workspace, adapter_id: str, source_file: str | None, spec: dict[str, Any]) -> RunContext:
     """Run a spec and keep it as the adapter's default."""
     chosen = {**active_spec(ws, adapter_id, spec), "transient": True}

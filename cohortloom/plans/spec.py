@@ -124,12 +124,21 @@ def _filter(df: DataFrame, step: Step, env: Environment) -> Outcome:
     )
 
 
+def _stop_on_invalid(df: DataFrame, stops: list[tuple[dict[str, Any], Column]]) -> None:
+    """One scan for all fields of a step that may not hold an unreadable cell."""
+    bad = df.agg(*[F.count_if(invalid).alias(f"b{i}") for i, (_, invalid) in enumerate(stops)]).first()
+    for (entry, _), count in zip(stops, bad, strict=True):
+        if count:
+            raise ValueError(f"{count} value(s) of {entry['source']} cannot be read as {entry['type']}; the step stops the run.")
+
+
 def _normalize(df: DataFrame, step: Step, env: Environment) -> Outcome:
     fields, counted = 0, []
     for batch in normalize.batches(df, normalize.normalization_plan(step.params)):
         df, values, texts, helpers = normalize.staged(df, [(e["source"], e["type"]) for e in batch])
         updates: dict[str, Column] = {}
         raised: list[Flag] = []
+        stops: list[tuple[dict[str, Any], Column]] = []
         for entry, value, text in zip(batch, values, texts, strict=True):
             update, invalid, flag = normalize.entry_update(df, entry, value, text)
             fields += 1
@@ -137,15 +146,14 @@ def _normalize(df: DataFrame, step: Step, env: Environment) -> Outcome:
                 raised.append(flag)
                 counted.append(f"_bad_{len(counted)}")
                 updates[counted[-1]] = invalid.cast("int")
-            elif entry["on_invalid"] == "stop_run":
-                bad = df.filter(invalid).count()
-                if bad:
-                    raise ValueError(
-                        f"Normalize fields could not convert {bad} value(s) in {entry['source']} to {entry['type']}."
-                    )
+            elif entry["on_invalid"] == "stop_run" and DROPPED not in df.columns:
+                # The traced fold keeps dropped rows; the published one, compiled first, does not.
+                stops.append((entry, invalid))
             updates[entry["output"]] = update
         if raised:
             updates.update(flags.appended(raised, step.info))
+        if stops:
+            _stop_on_invalid(df, stops)
         df = df.withColumns(updates).drop(*helpers)
     if not counted:
         return Outcome(df, counters={"invalid_values": F.lit(0)}, facts={"fields": fields})
@@ -284,7 +292,7 @@ def _join(df: DataFrame, step: Step, env: Environment) -> Outcome:
             str(pivot.get("columns") or ""),
             str(pivot.get("values") or ""),
             str(pivot.get("prefix") or ""),
-            order_by="_row_order" if "_row_order" in right.columns else None,
+            order_by="_row_order",
             column_values=pivot.get("column_values"),
         )
     elif "_row_order" in right.columns:

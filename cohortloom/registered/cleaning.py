@@ -162,6 +162,44 @@ for _name, (_params, _where) in _FILTERS.items():
     query(_name, f"select o_orderkey, t, n from {_MESSY_SQL} where {_where}")(_filter_query(_params))
 
 
+@query(
+    "filter_equals_double",
+    "select o_orderkey, v, w from (select o_orderkey, o_orderkey * 1000.0::double as v, (o_orderkey % 7) / 10000.0::double as w from orders) "
+    "where v = 12345000.0 or v = 2.0e6 or w = 0.0001 or w = 0.0",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.expr("o_orderkey * 1000D").alias("v"), F.expr("(o_orderkey % 7) / 10000D").alias("w")
+    )
+    conditions = [
+        {"field": "v", "operator": "equals", "value": "12345000.0"},
+        {"field": "v", "operator": "equals", "value": 2000000.0},
+        {"field": "v", "operator": "equals", "value": "3000000"},  # no double reads so
+        {"field": "w", "operator": "in", "value": ["0.0001", "0.0", "x"]},
+    ]
+    return filters.filter_rows(rows, match="any", conditions=conditions)
+
+
+_UNREADABLE = f"({sql_present('n')} is not null and {sql_number('n')} is null)"
+
+
+@query(
+    "normalize_stop_run",
+    f"with r as (select count(*) as n, count_if({_UNREADABLE}) as bad from {_MESSY_SQL}) "
+    "select * from (select 'rows_raw' as metric, n as value from r union all select 'filtered_rows', bad from r "
+    "union all select 'remaining_rows', n - bad from r union all select 'rows_ingested', n - bad from r)",
+)
+def _(spark, sf):
+    """A value that may not occur, in rows that an earlier filter removed."""
+    drop = {"action": "drop", "conditions": [{"field": "n", "operator": "in", "value": ["4.2d", "1,000"]}]}
+    stop = {"fields": ["n"], "type": "number", "on_invalid": "stop_run"}
+    steps = [{"operation": "filter_rows", "params": drop}, {"operation": "normalize_fields", "params": stop}]
+    env = specs.Environment("orders", default_registry())
+    compiled = specs.compile_spec({"spec_id": "stop", "version": 1, "steps": steps}, _messy(spark, sf), env, row_id=F.col("o_orderkey"))
+    counts = compiled.step_metrics().where("metric in ('rows_raw', 'filtered_rows', 'remaining_rows', 'rows_ingested')")
+    return counts.groupBy("metric").agg(F.sum("value").alias("value"))
+
+
 @query(
     "remove_stub_rows",
     "select o_orderkey, i, t from (select o_orderkey, case when o_orderkey % 5 <> 0 then o_custkey end as i, "
@@ -317,8 +355,7 @@ def _(spark, sf):
 
 _LEFT = "(select o_orderkey, case when o_custkey % 50 <> 0 then o_custkey end as k, o_orderstatus as name from orders)"
 _RIGHT = (
-    "(select case when c_custkey <> 7 then c_custkey end as k, c_name as name, c_mktsegment as seg from customer "
-    "where c_custkey % 3 <> 0 or c_custkey = 7)"
+    "(select case when c_custkey % 3 <> 0 then c_custkey when c_custkey <> 9 then -c_custkey end as k, c_name as name, c_mktsegment as seg from customer)"
 )
 
 
@@ -327,8 +364,9 @@ def _join_sides(spark, sf):
         "o_orderkey", F.expr("case when o_custkey % 50 <> 0 then o_custkey end").alias("k"),
         F.col("o_orderstatus").alias("name"),
     )
-    right = table(spark, sf, "customer").filter("c_custkey % 3 <> 0 or c_custkey = 7").select(
-        F.expr("case when c_custkey <> 7 then c_custkey end").alias("k"),
+    # All customers; a third has keys no order has, one has none.
+    right = table(spark, sf, "customer").select(
+        F.expr("case when c_custkey % 3 <> 0 then c_custkey when c_custkey <> 9 then -c_custkey end").alias("k"),
         F.col("c_name").alias("name"), F.col("c_mktsegment").alias("seg"),
     )
     return left, right

@@ -181,15 +181,51 @@ def _(spark, sf):
     return screen.ranked(found.leaderboard).drop("reference_level", "warnings")
 
 
-@query("univariate_auc_screen_roc")
+def _screen_roc_sql() -> str:
+    sign = f"(select case when avg(case when quality = 1 then n_chars end) < avg(case when quality = 0 then n_chars end) then -1 else 1 end as s from {_DOCS})"
+    sources = {
+        "n_chars": f"(select n_chars * s as score, quality as label from {_DOCS}, {sign})",
+        "lang": f"(select avg(quality) over (partition by lang) as score, quality as label from {_DOCS})",
+        "toxic": f"(select avg(quality) over (partition by toxic) as score, quality as label from {_DOCS})",
+    }
+    return " union all ".join(f"select '{n}' as predictor, * from ({_roc_sql(source)})" for n, source in sources.items())
+
+
+@query("univariate_auc_screen_roc", _screen_roc_sql())
 def _(spark, sf):
     found = screen.univariate_auc_screen(_labelled(spark, sf), "quality", ["n_chars", "lang", "toxic"])
     return found.roc_curves()
 
 
+# A predictor with a level per part: more levels than any driver list should hold.
+_BY_PART = "(select l_partkey, sum(cast(l_returnflag = 'R' as integer)) as pos, sum(cast(l_returnflag <> 'R' as integer)) as neg from lineitem group by l_partkey)"
+
+
+@query(
+    "univariate_auc_screen_many_levels",
+    f"with v as (select *, pos / (pos + neg) as score from {_BY_PART}), s as (select score, sum(pos) as pos, sum(neg) as neg from v group by score), "
+    "c as (select *, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from s) "
+    "select 'part' as predictor, round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 3) as auc, cast(sum(pos) + sum(neg) as bigint) as n, "
+    "(select count(*) - 1 from v) as term_count, (select min('part ' || l_partkey) from v) as reference_level from c",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        F.expr("l_returnflag = 'R'").alias("returned"), F.concat(F.lit("part "), F.col("l_partkey")).alias("part")
+    )
+    board = screen.univariate_auc_screen(rows, "returned", ["part"]).leaderboard
+    return board.select("predictor", "auc", "n", F.col("term_count").cast("bigint").alias("term_count"), "reference_level")
+
+
 # ----------------------------------------------------------------- logistic
 
 
+def _two_sided(z: str) -> str:
+    """Two-sided normal tail by Simpson's rule on 2,000 steps."""
+    step = f"(least(abs({z}), 9) / 2000)"
+    area = f"list_sum(list_transform(range(0, 2001), lambda i: case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(i * {step}, 2) / 2)))"
+    return f"round(greatest(0, 1 - 2 / sqrt(2 * pi()) * {step} / 3 * {area}), 4)"
+
+
 def _line_rows(spark, sf):
     return table(spark, sf, "lineitem").select(
         F.expr("l_returnflag = 'R'").alias("returned"),
@@ -231,14 +267,16 @@ _NEWTON = (
     "logistic_terms",
     _NEWTON
     + "select term, round(coef, 4) as coefficient, round(exp(coef), 3) as odds_ratio, round(exp(coef - 1.96 * se), 3) as ci_low, "
-    "round(exp(coef + 1.96 * se), 3) as ci_high, round(se, 4) as standard_error, round(coef / se, 3) as z from ("
+    "round(exp(coef + 1.96 * se), 3) as ci_high, round(se, 4) as standard_error, round(coef / se, 3) as z, "
+    + _two_sided("coef / se")
+    + " as p_value from ("
     f"select 'quantity' as term, b1 as coef, sqrt((a * f - c * c) / {_DET}) as se from info union all "
     f"select 'discount_pct', b2, sqrt((a * d - b * b) / {_DET}) from info)",
 )
 def _(spark, sf):
     model = logistic.fit(frames.build_model_frame(_line_rows(spark, sf), "returned", ["quantity", "discount_pct"], _KEYS))
     try:
-        return logistic.term_table(model).drop("predictor", "kind", "reference_level", "p_value")
+        return logistic.term_table(model).drop("predictor", "kind", "reference_level")
     finally:
         logistic.release(model)
 
@@ -252,7 +290,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     model = logistic.fit(frames.build_model_frame(_line_rows(spark, sf), "returned", ["quantity", "discount_pct"], _KEYS))
-    return evaluate.auc(model.scored_cells(), weight="n").select(F.round("auc", 4).alias("auc"), "n", "events")
+    found = evaluate.auc(model.scored_cells(), weight="n").select(F.round("auc", 4).alias("auc"), "n", "events").collect()
+    logistic.release(model)
+    return spark.createDataFrame(found, "auc double, n bigint, events bigint")
 
 
 @query(
@@ -416,8 +456,10 @@ def _(spark, sf):
     "(select b, days, sum(d) as d, sum(n * exp(b * x)) as s0, sum(n * exp(b * x) * x) as s1, sum(n * exp(b * x) * x * x) as s2 from step, cells where i = 10 group by b, days) "
     "window w as (order by days desc)) where d > 0 group by b) "
     "select 'quantity' as term, round(b, 4) as coefficient, round(exp(b), 3) as hazard_ratio, round(exp(b - 1.96 / sqrt(h)), 3) as ci_low, "
-    "round(exp(b + 1.96 / sqrt(h)), 3) as ci_high, round(1 / sqrt(h), 4) as standard_error, round(b * sqrt(h), 3) as z from fin",
+    "round(exp(b + 1.96 / sqrt(h)), 3) as ci_high, round(1 / sqrt(h), 4) as standard_error, round(b * sqrt(h), 3) as z, "
+    + _two_sided("b * sqrt(h)")
+    + " as p_value from fin",
 )
 def _(spark, sf):
     model = cox.fit_cox(_survival_input(spark, sf), "start_date", "event_date", ["quantity"], "censor_date")
-    return cox.cox_table(model).drop("predictor", "kind", "reference_level", "p_value")
+    return cox.cox_table(model).drop("predictor", "kind", "reference_level")

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names; only an unset one (tests) gets a default."""
+    """The folder the cluster names; a temporary one only where driver and tasks share a disk."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="cohortloom-checkpoint-"
-        )
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+            current = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
         context.setCheckpointDir(current)
     return current
 

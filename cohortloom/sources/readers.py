@@ -151,7 +151,9 @@ def read_data_file(spark: SparkSession, root: str, path: str) -> DataFrame:
             df = df.select(F.posexplode("records").alias("_row_order", "r")).select("r.*", "_row_order")
             return df
     elif suffix in (".parquet", ""):
-        return spark.read.parquet(full)
+        # The place of a row in its file, which every read finds again.
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return spark.read.parquet(full).select("*", place.alias("_row_order"))
     else:
         raise ValueError(f"Unsupported join data file type: {suffix}")
     return df.withColumn("_row_order", F.monotonically_increasing_id())
@@ -186,7 +188,8 @@ def read_text_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 # One reply line per CSV record: a line break inside quotes is content.
 _RECORD_BREAK = r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)'
-_REPLY_FIELDS = 8
+# A field after its comma: quoted with doubled quotes inside, or plain.
+_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
 
 def parse_marker_replies(replies: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -202,20 +205,24 @@ def parse_marker_replies(replies: DataFrame, key: str, text: str) -> tuple[DataF
     headed = F.when(F.startswith(first, F.lit("marker,value")), body).otherwise(
         F.concat(F.lit("marker,value,notes\n"), body)
     )
-    fields = ", ".join(f"c{i} string" for i in range(_REPLY_FIELDS))
-    record = F.from_csv("line", F.lit(fields), {"escape": '"', "ignoreLeadingWhiteSpace": "false"})
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.col("line")), F.lit(_FIELD), F.lit(1))
+    record = F.transform(
+        found,
+        lambda f: F.when(
+            F.startswith(f, F.lit('"')), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+        ).otherwise(f),
+    )
     lines = replies.select(F.col(key).alias("key"), body.alias("body"), headed.alias("headed")).select(
         "key", "body", F.split("headed", _RECORD_BREAK).alias("lines")
     )
     header = (
         lines.select("key", "body", "lines", F.get("lines", F.lit(0)).alias("line"))
         .withColumn("h", record)
-        .withColumn("h", F.array(*[F.col(f"h.c{i}") for i in range(_REPLY_FIELDS)]))
     )
     cells = F.filter(F.expr("slice(lines, 2, size(lines))"), lambda v: strip(v) != "")
     rows = header.select("key", "body", "h", F.posexplode_outer(cells).alias("position", "line")).withColumn("r", record)
     at_notes = F.array_position("h", "notes")
-    values = F.array(*[F.col(f"r.c{i}") for i in range(_REPLY_FIELDS)])
+    values = F.col("r")
 
     def cell(c):
         return F.coalesce(strip(c), F.lit(""))
@@ -281,4 +288,7 @@ def data_file_catalogue(df: DataFrame, file_column: str, limit: int = fv.DATA_FI
         .groupBy("file", "column_name")
         .agg(F.array_sort(F.collect_list("value")).alias("values"))
     )
-    return counts.join(listed, ["file", "column_name"]).join(rows, "file")
+    # A file without a present cell keeps its row count, with no column.
+    return rows.join(counts.join(listed, ["file", "column_name"]), "file", "left").select(
+        "file", "column_name", F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "values", "rows"
+    )

@@ -113,7 +113,7 @@ def test_yes_no_variants_are_one_term(spark):
     df = spark.createDataFrame([(i >= 4, w) for i, w in enumerate(words)], "recurrence boolean, residual string")
     design = frames.build_design(df, ["residual", "recurrence", "absent"], "recurrence")
     assert [t.name for t in design.terms] == ["residual: yes"]
-    assert [s["reason"] for s in design.skipped] == ["Predictor matches the outcome.", "Predictor is not in the clean dataset."]
+    assert [s["reason"] for s in design.skipped] == ["It is the outcome itself.", "The clean table has no such column."]
     assert frames.choose_levels(["a", "b"]) == ("a", "b") and frames.choose_levels(["death", "none"]) == ("none", "death")
 
 
@@ -131,14 +131,46 @@ def test_bootstrap_draws_whole_samples(twenty):
 def test_resample_counts_are_multinomial():
     draw = logistic.Resample(7, 400, {0: 30, 2: 70})
     counts = []
-    for partition, n in ((0, [10.0, 20.0]), (2, [70.0])):
-        counts.append(draw(np.array(n), None, (partition, 0), np.arange(400)))
+    for bucket, n in ((0, [10.0, 20.0]), (2, [70.0])):
+        draw.enter(np.array(n), np.full(len(n), bucket << 40))
+        counts.append(draw(np.array(n), None, None, np.arange(400)))
     whole = np.vstack(counts)
     assert (whole.sum(axis=0) == 100).all()
     assert whole.mean(axis=1) == pytest.approx([10, 20, 70], abs=1.0)
     assert whole.var(axis=1) == pytest.approx([9, 16, 21], rel=0.3)
-    alone = logistic.Resample(7, 400, {0: 30, 2: 70})(np.array([70.0]), None, (2, 0), np.array([5, 9]))
-    assert (alone == whole[2:, [5, 9]]).all()
+    alone = logistic.Resample(7, 400, {0: 30, 2: 70})
+    alone.enter(np.array([70.0]), np.array([2 << 40]))
+    assert (alone(np.array([70.0]), None, None, np.array([5, 9])) == whole[2:, [5, 9]]).all()
+
+
+def test_bootstrap_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=3000)
+    rows = [(i, bool(rng.random() < 1 / (1 + np.exp(-v))), float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, y boolean, x double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts, batch in ((1, 10_000), (4, 700), (7, 64)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            frame = frames.build_model_frame(df.repartition(parts), "y", ["x"], ["id"])
+            boot = logistic.bootstrap_validation(frame, 0.7, 30)
+            found.append([tuple(r) for r in boot.intervals.collect()] + [round(boot.optimism, 9)])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert found[0] == found[1] == found[2]
+
+
+def test_many_levels_keep_their_predictor(spark):
+    rows = [(i % 2 == 0, f"site {i % 1500}", float(i % 11)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "y boolean, site string, x double")
+    board = {r["predictor"]: r for r in screen.univariate_auc_screen(df, "y", ["site", "x"]).leaderboard.collect()}
+    assert board["site"]["term_count"] == 1499 and board["site"]["auc"] == 1.0 and board["site"]["reference_level"] == "site 0"
+    design = frames.build_design(df, ["site"])
+    assert len(design.terms) == 1499 and not design.skipped
+
 
 
 def test_cox_matches_direct_newton(spark):
