@@ -17,7 +17,7 @@ import numpy as np
 from .words import Slice, ragged
 
 # A worker forgets its words when it holds more than so many; ids do not depend on it.
-MEMORY_WORDS = 3_000_000
+MEMORY_WORDS = 1_000_000
 
 
 def default_path(name: str) -> str:
