@@ -74,13 +74,13 @@ def choose_levels(values: list[str]) -> tuple[str, str]:
 
 def encode_outcome(df: DataFrame, name: str) -> Outcome:
     if name not in df.columns:
-        raise ValueError(f"Outcome variable is not in the clean dataset: {name}")
+        raise ValueError(f"The clean table has no outcome column {name}")
     label = model_label(F.col(f"`{name}`"), df.schema[name].dataType)
     # Two labels and perhaps null: a fourth group already means a wrong outcome.
     found = df.groupBy(label.alias("v")).agg(F.count("*").alias("c")).take(4)
     labels = [r["v"] for r in found if r["v"] is not None]
     if len(labels) != 2:
-        raise ValueError("Outcome must have exactly two non-missing levels.")
+        raise ValueError("The outcome needs exactly two levels besides missing.")
     reference, event = choose_levels(labels)
     encoded = F.when(label == event, 1).when(label == reference, 0)
     known = sum(r["c"] for r in found if r["v"] is not None)
@@ -203,22 +203,22 @@ def build_model_frame(
     """Complete cases of outcome and predictors, without terms that do not vary."""
     encoded = encode_outcome(df, outcome)
     if not predictors:
-        raise ValueError("Select at least one predictor variable.")
+        raise ValueError("A model needs a predictor.")
     design = build_design(df, predictors, outcome)
     if not design.terms:
-        raise ValueError("No usable predictor terms are available after encoding.")
+        raise ValueError("No predictor can be turned into a term.")
     keys = [F.col(f"`{k}`") for k in row_keys or []]
     rows = _with_terms(df, design.terms, [encoded.label.cast("double").alias("label"), *keys]).filter(
         "label is not null"
     )
     keep, head = _usable_terms(rows, design.terms, [F.sum("label").alias("events")])
     if not head["n"]:
-        raise ValueError("No complete cases remain after applying the selected predictors.")
+        raise ValueError("Every row lacks the outcome or some predictor.")
     events = int(head["events"])
     if events in (0, head["n"]):
-        raise ValueError("Complete cases do not include both outcome classes.")
+        raise ValueError("The complete rows hold one outcome class only.")
     if not keep:
-        raise ValueError("No predictor terms vary within the complete-case model frame.")
+        raise ValueError("All terms are constant over the complete rows.")
     if len(keep) < len(design.terms):
         rows = rows.withColumn("x", F.array(*[F.get("x", F.lit(i)) for i in keep]))
     return ModelFrame(
@@ -247,9 +247,9 @@ def survival_rows(df: DataFrame, start: str, event: str, censor: str | None = No
     latest date of the row over all date-named columns."""
     for name, label in ((start, "Index date"), (event, "Event date")):
         if name not in df.columns:
-            raise ValueError(f"{label} variable is not in the clean dataset: {name}")
+            raise ValueError(f"The clean table has no column {name} for the {label.lower()}")
     if censor and censor not in df.columns:
-        raise ValueError(f"Censor date variable is not in the clean dataset: {censor}")
+        raise ValueError(f"The clean table has no column {censor} for the censor date")
 
     dated = list(dict.fromkeys([start, event, *([censor] if censor else []), *date_columns(df)]))
     helper, values, _, helpers = staged(df, [(c, "date") for c in dated])

@@ -220,7 +220,7 @@ def fit_lasso(frame: ModelFrame, row_keys: list[str]) -> LassoResult:
         lowest = int(np.argmin(mean))
         chosen = int(np.nonzero(mean <= mean[lowest] + se[lowest])[0][0])
     else:
-        reason = "fewer than 3 complete cases in at least one outcome class"
+        reason = "an outcome class has fewer than 3 complete rows"
     at = full.start + chosen
     return LassoResult(
         frame=frame, cells=cells,

@@ -75,7 +75,7 @@ def fit(frame: ModelFrame) -> LogisticModel:
     errors = standard_errors(cells, beta)
     warnings = []
     if fits.pseudo_inverse[0]:
-        warnings.append("Used pseudo-inverse due to an unstable model matrix.")
+        warnings.append("A step used the pseudo-inverse of a singular matrix.")
     if not fits.converged[0]:
         warnings.append("Model did not fully converge.")
     return LogisticModel(frame, cells, beta, errors, bool(fits.converged[0]), warnings)
@@ -88,9 +88,9 @@ def release(model: LogisticModel) -> None:
 def count_warnings(frame: ModelFrame, what: str = "estimates") -> list[str]:
     warnings = []
     if min(frame.events, frame.n - frame.events) < fv.LOW_CLASS_COUNT:
-        warnings.append("Low event or non-event count.")
+        warnings.append("Few events or few non-events.")
     if frame.events <= max(len(frame.terms) * 5, 5):
-        warnings.append(f"Low event count relative to model terms; {what} may be unstable.")
+        warnings.append(f"Few events per model term; {what} may vary widely.")
     return warnings
 
 
@@ -133,7 +133,7 @@ def cross_validated_auc(frame: ModelFrame, row_keys: list[str]) -> CrossValidati
     """All fold models in the same Newton passes, then one grouped AUC."""
     folds = fold_count(frame)
     if not folds:
-        return CrossValidation("fallback", "fewer than 3 complete cases in at least one outcome class")
+        return CrossValidation("fallback", "an outcome class has fewer than 3 complete rows")
     cells = folded_cells(frame, row_keys, folds).persist()
     try:
         fits = fit_batch(cells, len(frame.terms), folds, OutsideFold(tuple(range(folds))))
@@ -148,7 +148,7 @@ def cross_validated_auc(frame: ModelFrame, row_keys: list[str]) -> CrossValidati
     by_fold = {r["fold"]: r["auc"] for r in rows}
     values = [by_fold.get(m) for m in range(folds)]
     if any(v is None for v in values):
-        return CrossValidation("fallback", "stratified folds could not preserve both outcome classes")
+        return CrossValidation("fallback", "a fold lacks an outcome class")
     return CrossValidation("fit", None, [float(v) for v in values])
 
 
@@ -269,7 +269,7 @@ def bootstrap_validation(
 ) -> Bootstrap:
     """Optimism-corrected AUC and percentile intervals from n-out-of-n resamples."""
     if apparent is None:
-        return Bootstrap("fallback", "apparent AUC could not be estimated", 0, replicates)
+        return Bootstrap("fallback", "there is no apparent AUC", 0, replicates)
     cells = materialize(_chunked(frame.cells()))
     draw = Resample(seed, replicates, _bucket_totals(cells))
     fits = fit_batch(cells, len(frame.terms), replicates, draw)
@@ -277,7 +277,7 @@ def bootstrap_validation(
     skipped = replicates - len(models)
     if not len(models):
         return Bootstrap(
-            "fallback", "no bootstrap resamples contained both outcome classes and estimable AUC", 0, skipped
+            "fallback", "no resample drew both outcome classes", 0, skipped
         )
     by_score = _replicate_scores(cells, fits.betas, models, draw).groupBy("model", "score")
     positive = F.col("label") == 1

@@ -172,6 +172,22 @@ def newton_sums(
     return PassSums(out[:, :p], hessian, out[:, -3], out[:, -2], out[:, -1])
 
 
+def solved(information: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(Newton move, whether the matrix was singular)."""
+    try:
+        return np.linalg.solve(information, gradient), False
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(information) @ gradient, True
+
+
+def wald_errors(information: np.ndarray) -> np.ndarray | None:
+    """Root of the diagonal of the inverse; None where that has a negative entry."""
+    p = len(information)
+    variance = np.column_stack([solved(information, column)[0] for column in np.eye(p)])
+    diagonal = np.diag(variance)
+    return np.sqrt(diagonal) if (diagonal >= 0).all() else None
+
+
 @dataclass
 class LogisticFits:
     betas: np.ndarray
@@ -198,11 +214,8 @@ def fit_batch(cells: DataFrame, terms: int, models: int, weights: Weights = all_
         for i, model in enumerate(active):
             if one_class[i]:
                 continue
-            try:
-                move = np.linalg.solve(sums.hessian[i] + ridge, sums.gradient[i])
-            except np.linalg.LinAlgError:
-                move = np.linalg.pinv(sums.hessian[i] + ridge) @ sums.gradient[i]
-                pseudo[model] = True
+            move, singular = solved(sums.hessian[i] + ridge, sums.gradient[i])
+            pseudo[model] |= singular
             betas[model] += move
             if np.max(np.abs(move)) < fv.NEWTON_TOLERANCE:
                 converged[model] = True
@@ -215,13 +228,7 @@ def fit_batch(cells: DataFrame, terms: int, models: int, weights: Weights = all_
 
 
 def standard_errors(cells: DataFrame, beta: np.ndarray) -> np.ndarray | None:
-    information = newton_sums(cells, beta[None, :], np.array([0])).hessian[0]
-    try:
-        variance = np.linalg.inv(information)
-    except np.linalg.LinAlgError:
-        variance = np.linalg.pinv(information)
-    diagonal = np.diag(variance)
-    return None if np.any(diagonal < 0) else np.sqrt(diagonal)
+    return wald_errors(newton_sums(cells, beta[None, :], np.array([0])).hessian[0])
 
 
 def linear_score(beta: np.ndarray, x: str = "x"):

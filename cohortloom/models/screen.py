@@ -60,7 +60,7 @@ def _long_counts(df: DataFrame, outcome: Outcome, design: Kinds) -> DataFrame:
 def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) -> Screen:
     encoded = encode_outcome(df, outcome)
     if not predictors:
-        raise ValueError("Select at least one predictor variable.")
+        raise ValueError("A screen needs a predictor.")
     design = predictor_kinds(df.filter(encoded.label.isNotNull()), predictors, outcome)
     spark = df.sparkSession
     if not design.kinds:
@@ -122,7 +122,7 @@ def univariate_auc_screen(df: DataFrame, outcome: str, predictors: list[str]) ->
         if separated or (design.kinds[name] != "numeric" and r["pure_level"]):
             warnings.append("Model did not fully converge.")
         if min(r["p"], r["q"]) < fv.LOW_CLASS_COUNT:
-            warnings.append("Low event or non-event count.")
+            warnings.append("Few events or few non-events.")
         n = r["p"] + r["q"]
         info.append((name, terms, reference, rows - n, "; ".join(warnings)))
     table = spark.createDataFrame(

@@ -15,13 +15,13 @@ from .let import let
 
 _KINDS = ("text", "category", "boolean", "date", "number")
 
-# Advice shown with a conversion flag.
+# Advice shown with a conversion flag.
 _HINTS = {
-    "date": "Use a supported date value or update this step's date parsing rule.",
-    "boolean": "Use a recognizable yes/no value or change this field's normalization type.",
-    "number": "Use a numeric value or change this field's normalization type.",
+    "date": "Write the date in a form this step reads, or widen its rule.",
+    "boolean": "Write yes or no, or treat the field as text.",
+    "number": "Write a number, or treat the field as text.",
 }
-_OTHER_HINT = "Update the source value or change this field's normalization rule."
+_OTHER_HINT = "Correct the cell or loosen the rule."
 
 # Beyond this many pairs a literal map (linear lookup) loses to a hash join.
 LITERAL_MAP_LIMIT = 64

@@ -251,7 +251,7 @@ def test_template_registry_and_errors(twelve):
     assert [p.name for p in templates.TEMPLATES["cox_regression"].parameters] == ["start_date", "event_date", "censor_date", "predictors"]
     with pytest.raises(ValueError, match="Unknown analysis template"):
         templates.run_template("nope", {}, twelve, RUN, "m")
-    with pytest.raises(ValueError, match="not in the clean dataset"):
+    with pytest.raises(ValueError, match="no outcome column"):
         templates.run_template("decision_curve_analysis", {"outcome": "x", "predictors": ["nlr"]}, twelve, RUN, "m")
     with pytest.raises(ValueError, match="exactly two"):
         templates.run_template("decision_curve_analysis", {"outcome": "age", "predictors": ["nlr"]}, twelve, RUN, "m")
