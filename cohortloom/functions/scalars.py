@@ -130,26 +130,17 @@ def to_boolean(c: Column, dtype: T.DataType = STRING) -> Column:
 
 
 # --- dates ------------------------------------------------------------------
-# Written forms are rewritten to ISO text one anchored pattern at a time, then
-# cast once. Slash dates are day-first unless the middle part cannot be a month;
-# dash dates that end in the year are month-first unless the first part cannot
-# be one. Two-digit years: 69-99 are 19xx, 00-68 are 20xx. Whatever is left and
-# is not an ISO date or a bare year fails the cast and becomes null.
-_SLASH_REWRITES = (
-    (r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)$", "$119$2"),
-    (r"^(\d{1,2}/\d{1,2}/)(\d{2})$", "$120$2"),
-    (r"^(\d{1,2})/(1[3-9]|[2-9]\d)/(\d{4})$", "$3-$1-$2"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
-)
-_OTHER_REWRITES = (
-    (r"^(1[3-9]|[2-9]\d)-(\d{1,2})-(\d{4})$", "$3-$2-$1"),
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (r"^(\d{4}-\d{2}-\d{2})[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", "$1"),
-    # A cast would accept these; as dates they are noise.
-    (r"^([+-].*|\d{5,}.*|\d{4}-\d{1,2}-\d{1,2}[ T].*)$", ""),
-)
+# Every written form has one anchored pattern that recognizes it; its parts are then cut out
+# by their separator and put in ISO order for a single cast. Slash dates are day-first unless
+# the middle part cannot be a month; dash dates that end in the year are month-first unless
+# the first part cannot be one. Two-digit years: 69-99 are 19xx, 00-68 are 20xx. What no
+# pattern knows is null, but for bare years and year-months, which the cast reads.
+_SLASHED = r"^\d{1,2}/\d{1,2}/(\d{2}|\d{4})$"
+_SLASHED_YEAR_FIRST = r"^\d{4}/\d{1,2}/\d{1,2}$"
+_DASHED = r"^\d{4}(-\d{1,2}(-\d{1,2})?)?$"
+_DASHED_YEAR_LAST = r"^\d{1,2}-\d{1,2}-\d{4}$"
+_COMPACT = r"^\d{8}$"
+_WITH_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
 _MONTH = (
     "(?i:(Jan)(?:uary)?|(Feb)(?:ruary)?|(Mar)(?:ch)?|(Apr)(?:il)?|(May)|(Jun)e?|(Jul)y?"
     "|(Aug)(?:ust)?|(Sep)(?:tember)?|(Oct)(?:ober)?|(Nov)(?:ember)?|(Dec)(?:ember)?)"
@@ -161,14 +152,30 @@ _PICK_FIRST = "$13 " + "".join(f"${i}" for i in range(1, 13)) + " $14"
 _PICK_SECOND = "$1 " + "".join(f"${i}" for i in range(2, 14)) + " $14"
 
 
-def date_text(text: Column) -> Column:
-    """Date of present text."""
+def _iso(text: Column, sep: str, first_is_day: bool) -> Column:
+    """ISO text of `a<sep>b<sep>year`; the two small parts swap where they cannot be read as told."""
+    one, two, year = (F.split_part(text, F.lit(sep), F.lit(i)) for i in (1, 2, 3))
+    century = F.when(year.cast("int") >= 69, "19").otherwise("20")
+    full = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
+    doubtful = two if first_is_day else one
+    swap = doubtful.cast("int") > 12
+    as_told = (two, one) if first_is_day else (one, two)
+    return F.when(swap, F.concat_ws("-", full, *as_told[::-1])).otherwise(F.concat_ws("-", full, *as_told))
 
-    def rewritten(rules: tuple[tuple[str, str], ...]) -> Column:
-        return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, text)
 
-    # A byte search picks the rules, so a cell meets only those of its own form.
-    iso = F.when(F.contains(text, F.lit("/")), rewritten(_SLASH_REWRITES)).otherwise(rewritten(_OTHER_REWRITES))
+def date_text(text: Column) -> Column:
+    """Date of present text."""
+    # A byte search picks the patterns, so a cell meets only those of its own form.
+    slashed = F.when(text.rlike(_SLASHED), _iso(text, "/", True)).when(
+        text.rlike(_SLASHED_YEAR_FIRST), F.translate(text, "/", "-")
+    )
+    dashed = (
+        F.when(text.rlike(_DASHED), text)
+        .when(text.rlike(_DASHED_YEAR_LAST), _iso(text, "-", False))
+        .when(text.rlike(_COMPACT), F.concat_ws("-", F.left(text, F.lit(4)), F.substring(text, 5, 2), F.substring(text, 7, 2)))
+        .when(text.rlike(_WITH_TIME), F.left(text, F.lit(10)))
+    )
+    iso = F.when(F.contains(text, F.lit("/")), slashed).otherwise(dashed)
     worded = F.regexp_replace(
         F.regexp_replace(text, _MONTH_FIRST, _PICK_FIRST), _DAY_MONTH, _PICK_SECOND
     )
