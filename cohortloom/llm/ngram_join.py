@@ -8,7 +8,7 @@
    and ordered last, so no bucket gathers them.
 3. With shingles in the order of their frequency, linked sets share one among the first
    n - ceil(0.75 n) + 1. Sets without a shared shingle there are done.
-4. Round one: each set is verified against one partner, the least set with which it shares
+4. Round one: each set is verified against one partner, the most central set that shares
    most of its prefix. That already joins large groups of near copies, without their pairs.
 5. Round two: all pairs that share a prefix shingle and are not joined yet, if they pass the
    length, positional and suffix filters, each verified once. A link lost to the skip would
@@ -329,7 +329,11 @@ def _least_size(n: str, m: str) -> str:
 
 
 def _round_one(index: DataFrame) -> DataFrame:
-    heads = index.groupBy("token").agg(F.min("set_key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """A partner for each set: the most central set, that with the least share of shingles of
+    its own, behind most of its prefix tokens. What a group of copies stems from is such a set."""
+    own = (F.col("n") - F.col("ahead") - F.col("rest")) / F.col("n")
+    central = F.min(F.struct(own.alias("own"), "set_key"))["set_key"]
+    heads = index.groupBy("token").agg(central.alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     votes = index.join(heads, "token").where("set_key <> head").groupBy("set_key", "head").count()
     return votes.groupBy("set_key").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a")).select("a", F.col("set_key").alias("b"))
 
@@ -337,12 +341,13 @@ def _round_one(index: DataFrame) -> DataFrame:
 def _round_two(index: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs not joined yet that share a prefix token and pass the length and positional filters."""
     named = index.join(labels, index["set_key"] == labels["node"], "left").select(
-        "token", "set_key", "n", "place", F.coalesce("root", "set_key").alias("label")
+        "token", "set_key", "n", "ahead", "rest", F.coalesce("root", "set_key").alias("label")
     )
     open_tokens = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     rows = named.join(open_tokens, "token", "left_semi")
-    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "n", "place", "label")]) for s in "ab")
-    most = "least(place_a, place_b) + least(n_a - place_a, n_b - place_b)"
+    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "n", "ahead", "rest", "label")]) for s in "ab")
+    # Shingles that no other set has stand first and can't overlap, so they don't count as ahead.
+    most = "least(ahead_a, ahead_b) + least(rest_a, rest_b)"
     pairs = one.join(two, "token").where(
         f"label_a < label_b and {_least_size('n_a', 'n_b')} and (100 + {PERCENT}) * ({most}) >= {PERCENT} * (n_a + n_b)"
     )
@@ -361,8 +366,9 @@ def linked_components(docs: DataFrame) -> DataFrame:
     back = exchange.meet(sent).mapInArrow(_count(n_slots), exchange.SLOTS)
     sets = store(back.groupBy("slot").applyInArrow(_order, SETS), "sets")
 
-    index = sets.select("set_key", "n", "before", F.posexplode("prefix").alias("at", "token")).select(
-        "token", "set_key", "n", (F.col("before") + F.col("at")).alias("place")
+    # Of a token: shared tokens ahead of it in its set, and tokens from it to the end.
+    index = sets.select("set_key", "n", "before", F.posexplode("prefix").alias("ahead", "token")).select(
+        "token", "set_key", "n", "ahead", (F.col("n") - F.col("before") - F.col("ahead")).alias("rest")
     )
     first = store(_verify(_round_one(index), sets), "links")
     second = store(_verify(_round_two(index, connected(first)), sets), "links")
