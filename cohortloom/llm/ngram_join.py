@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .components import connected
-from .stored import partitions, store
+from .stored import drop_stored, partitions, store
 from .words import Slice, mix, slices, window_hashes
 
 SHINGLE = 5
@@ -371,8 +371,11 @@ def linked_components(docs: DataFrame) -> DataFrame:
         "token", "set_key", "n", "ahead", (F.col("n") - F.col("before") - F.col("ahead")).alias("rest")
     )
     first = store(_verify(_round_one(index), sets), "links")
-    second = store(_verify(_round_two(index, connected(first)), sets), "links")
+    joined = connected(first)
+    second = store(_verify(_round_two(index, joined), sets), "links")
     labels = connected(first.unionByName(second))
+    for table in (sets, first, second, joined):
+        drop_stored(table)
 
     classes = members.join(labels, members["set_key"] == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "set_key").alias("class")

@@ -67,6 +67,40 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+_SPACE = "[\\x09-\\x0D\\x20]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{_SPACE}'), lambda x: x <> '')"
+
+
+ORACLES["op2_ngram_jaccard"] = (
+    f"with recursive w as (select doc_id, {_words(_LOWERED)} as words from documents), "
+    "p as (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) as i from w where len(words) > 0), "
+    "s as materialized (select distinct doc_id, md5(array_to_string(words[i:i + 4], ' ')) as h from p), "
+    "n as materialized (select doc_id, count(*) as n from s group by doc_id), "
+    "o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by all), "
+    "e as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)), "
+    "u as materialized (select a, b from e union select b, a from e), "
+    "r(doc_id, seen) as (select doc_id, doc_id from n union select r.doc_id, u.b from r join u on u.a = r.seen) "
+    "select w.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) as n_shingles, coalesce(min(r.seen), w.doc_id) as component_id "
+    "from w left join n using (doc_id) left join r using (doc_id) group by w.doc_id"
+)
+
+ORACLES["op3_substring_dedup"] = (
+    f"with w as materialized (select doc_id, {_words("coalesce(text, '')")} as words from documents), "
+    "p as (select doc_id, words, unnest(range(1, len(words) - 33)) as i from w), "
+    "g as materialized (select doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) as h from p), "
+    "again as (select doc_id, i from g where h in (select h from g group by h having count(*) > 1)), "
+    "gone as materialized (select distinct doc_id, i + j as i from again, range(0, 35) t(j)), "
+    "kept as (select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from (select doc_id, unnest(words) as word, "
+    "unnest(range(1, len(words) + 1)) as i from w) anti join gone using (doc_id, i) group by doc_id) "
+    "select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(kept.n, 0) as bigint) as n_removed, "
+    "sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)"
+)
+
+
 @_query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_components(_table(spark, sf_dir, "documents"))
