@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
+import re
+from dataclasses import dataclass
 from pathlib import PurePosixPath
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,13 +35,6 @@ def list_files(spark: SparkSession, patterns: list[str], suffix: str = "") -> li
     return sorted(found)
 
 
-def _head(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    """The first lines of one file; the rest stays on the executors."""
-    reader = spark.read.option("encoding", encoding)
-    lines = reader.text(path).limit(_HEAD_LINES).collect()
-    return [row["value"] for row in lines]
-
-
 def sniff_delimiter(lines: list[str]) -> str:
     try:
         return csv.Sniffer().sniff("\n".join(lines), delimiters=_DELIMITERS).delimiter
@@ -60,9 +55,47 @@ def _columns(header: str, delimiter: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Every line of the file is valid UTF-8 (checked on the executors)."""
-    return not spark.read.text(path).filter(~F.is_valid_utf8("value")).take(1)
+@dataclass(frozen=True)
+class FileFacts:
+    """What a file's layout depends on: its first lines as bytes, and two facts of all lines."""
+
+    head: tuple[bytes, ...] = ()
+    utf8: bool = True
+    broken_lines: bool = False
+
+
+def _plain_path(path: str) -> str:
+    """One spelling of a path: Spark's metadata and Hadoop write schemes and blanks apart."""
+    return re.sub(r"^(\w+:)/+", r"\1/", unquote(path))
+
+
+def file_facts(spark: SparkSession, paths: list[str]) -> dict[str, FileFacts]:
+    """Facts of all files from two jobs, however many there are; a few lines a file come back."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    facts = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("broken")
+    )
+    order = Window.partitionBy("path").orderBy("at")
+    heads = (
+        lines.where("block = 0")
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("line", F.row_number().over(order))
+        .where(F.col("line") <= _HEAD_LINES)
+        .select("path", "line", F.col("value").cast("binary").alias("value"))
+    )
+    first: dict[str, dict[int, bytes]] = {}
+    for row in heads.collect():
+        first.setdefault(row["path"], {})[row["line"]] = bytes(row["value"])
+    found: dict[str, FileFacts] = {}
+    for r in facts.collect():
+        own = FileFacts(tuple(v for _, v in sorted(first.get(r["path"], {}).items())), r["utf8"], r["broken"])
+        # A path without a scheme lies on the default file system.
+        found.setdefault(unquote(urlparse(r["path"]).path), own)
+        found[_plain_path(r["path"])] = own
+    return {path: found.get(_plain_path(path), FileFacts()) for path in paths}
 
 
 def read_csv_set(
@@ -71,29 +104,24 @@ def read_csv_set(
 ) -> DataFrame:
     """Union of CSV files by column name, every cell as text, plus the file name.
 
-    Files that share a layout are one scan. ``delimiter=None`` sniffs it from the
-    first lines; ``encoding=None`` tries UTF-8 and falls back to Latin-1.
+    Files that share a layout are one scan, which Spark may split unless some cell holds a
+    line break. ``delimiter=None`` sniffs it from the first lines; ``encoding=None`` tries
+    UTF-8 and falls back to Latin-1.
     """
-
-    def layout(path: str) -> tuple[tuple[str, ...], str, str]:
-        coding = encoding or ("UTF-8" if is_utf8(spark, path) else "ISO-8859-1")
-        lines = _head(spark, path, coding)
+    groups: dict[tuple, list[str]] = {}
+    for path, facts in file_facts(spark, paths).items():
+        coding = encoding or ("UTF-8" if facts.utf8 else "ISO-8859-1")
+        lines = [line.decode(coding, "replace") for line in facts.head]
         sep = delimiter or sniff_delimiter(lines)
         names = _columns(lines[0] if lines else "", sep)
-        return tuple(n.strip() for n in names) if trim_names else names, sep, coding
-
-    # Only headers are read here, a few at a time.
-    with ThreadPoolExecutor(8) as pool:
-        layouts = list(pool.map(layout, paths))
-    groups: dict[tuple, list[str]] = {}
-    for path, key in zip(paths, layouts, strict=True):
-        groups.setdefault(key, []).append(path)
+        names = tuple(n.strip() for n in names) if trim_names else names
+        groups.setdefault((names, sep, coding, facts.broken_lines), []).append(path)
     frames = []
-    for (columns, sep, coding), members in groups.items():
+    for (columns, sep, coding, broken), members in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         frame = (
             spark.read.schema(schema)
-            .options(header=True, sep=sep, encoding=coding, multiLine=True, escape='"', enforceSchema=True)
+            .options(header=True, sep=sep, encoding=coding, multiLine=broken, escape='"', enforceSchema=True)
             .csv(members)
         )
         frames.append(frame.select("*", F.url_decode(F.col("_metadata.file_name")).alias(FILE_NAME)))
