@@ -14,7 +14,7 @@
    length, positional and suffix filters, each verified once. A link lost to the skip would
    be between sets that are joined anyway, so the components are exact.
 
-The suffix filter bounds the overlap by the counts of shared shingles in 64 hash ranges.
+The suffix filter bounds the overlap by the counts of shared shingles in 32 hash ranges.
 Tokens are 48 bits of the shingle's hash and its bucket, which are further bits of it.
 
 Defined results: null, empty and wordless texts have no shingles and no links; with one to
@@ -30,7 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -243,11 +243,15 @@ def _count(n_slots: int) -> Callable:
     return run
 
 
-SETS = "set_key long, n int, before int, prefix array<long>, tokens binary, sketch binary"
+SETS = "set_key long, n int, before int, prefix array<long>, tokens binary, sketch array<int>"
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    return np.bincount((mix(tokens) >> np.uint64(58)).astype(np.int64), minlength=64).astype("<u4").tobytes()
+_RANGES = 32
+
+
+def _sketch(tokens: np.ndarray) -> list[int]:
+    """Shared shingles in each of _RANGES hash ranges."""
+    return np.bincount((mix(tokens) >> np.uint64(59)).astype(np.int64), minlength=_RANGES).tolist()
 
 
 def _order(table: pa.Table) -> pa.Table:
@@ -279,7 +283,7 @@ def _order(table: pa.Table) -> pa.Table:
             mine = token[end - count : end]
             ranked = np.sort(mine)
             rows.append((name, n, before, mine[:prefix].view(np.int64).tolist(), ranked.tobytes(), _sketch(ranked)))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SETS.split(", ")])
 
@@ -288,15 +292,10 @@ def _linked(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * overlap >= PERCENT * (n + m - overlap)
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix filter: pairs whose sketches allow the overlap."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, 64).astype(np.int64) for c in ("sketch_a", "sketch_b"))
-        most = np.minimum(one, two).sum(axis=1)
-        n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-        yield b.filter(pa.array(_linked(most, n, m))).select(["a", "b", "n_a", "n_b"])
+def _possible() -> Column:
+    """Suffix filter: the overlap that the sketches of sides a and b allow is enough."""
+    most = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    return (100 + PERCENT) * most.cast("long") >= PERCENT * (F.col("n_a") + F.col("n_b")).cast("long")
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,13 +318,13 @@ def _side(sets: DataFrame, name: str, *columns: str) -> DataFrame:
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Linked pairs among distinct pairs (a, b)."""
     sketched = pairs.join(_side(sets, "a", "n", "sketch"), "a").join(_side(sets, "b", "n", "sketch"), "b")
-    near = sketched.mapInArrow(_possible, "a long, b long, n_a int, n_b int")
+    near = sketched.where(_possible()).drop("sketch_a", "sketch_b")
     full = near.join(_side(sets, "a", "tokens"), "a").join(_side(sets, "b", "tokens"), "b")
     return full.mapInArrow(_exact, "a long, b long")
 
 
 def _least_size(n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
+    return f"100L * least({n}, {m}) >= {PERCENT}L * greatest({n}, {m})"
 
 
 def _round_one(index: DataFrame) -> DataFrame:
@@ -338,19 +337,21 @@ def _round_one(index: DataFrame) -> DataFrame:
     return votes.groupBy("set_key").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a")).select("a", F.col("set_key").alias("b"))
 
 
-def _round_two(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs not joined yet that share a prefix token and pass the length and positional filters."""
+def _round_two(index: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs not joined yet that share a prefix token and pass all three filters, which are part
+    of the join, so a group's pairs that fail them are never written."""
     named = index.join(labels, index["set_key"] == labels["node"], "left").select(
         "token", "set_key", "n", "ahead", "rest", F.coalesce("root", "set_key").alias("label")
     )
     open_tokens = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    rows = named.join(open_tokens, "token", "left_semi")
-    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "n", "ahead", "rest", "label")]) for s in "ab")
+    rows = named.join(open_tokens, "token", "left_semi").join(sets.select("set_key", "sketch"), "set_key")
+    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "n", "ahead", "rest", "label", "sketch")]) for s in "ab")
     # Shingles that no other set has stand first and can't overlap, so they don't count as ahead.
     most = "least(ahead_a, ahead_b) + least(rest_a, rest_b)"
-    pairs = one.join(two, "token").where(
-        f"label_a < label_b and {_least_size('n_a', 'n_b')} and (100 + {PERCENT}) * ({most}) >= {PERCENT} * (n_a + n_b)"
+    cheap = F.expr(
+        f"label_a < label_b and {_least_size('n_a', 'n_b')} and {100 + PERCENT}L * ({most}) >= {PERCENT}L * (n_a + n_b)"
     )
+    pairs = one.join(two, "token").where(cheap & _possible())
     return pairs.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b")).distinct()
 
 
@@ -372,7 +373,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     )
     first = store(_verify(_round_one(index), sets), "links")
     joined = connected(first)
-    second = store(_verify(_round_two(index, joined), sets), "links")
+    second = store(_verify(_round_two(index, joined, sets), sets), "links")
     labels = connected(first.unionByName(second))
     for table in (sets, first, second, joined):
         drop_stored(table)
