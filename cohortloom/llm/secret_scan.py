@@ -5,13 +5,16 @@ Any other run of 20 or more key characters is a candidate. Its encoding is infer
 hex, base32, base64), its characters become ranks in that alphabet, and three tests measure
 how far it is from random: chi-squared uniformity over the alphabet, runs above and below
 the middle, and lag-1 serial correlation. The sum of their squared z-scores is the
-distance; random strings have small ones, words have large ones.
+distance; a candidate whose distance is beyond what random strings reach is not random.
 
-False discoveries are controlled per length class. Candidates that are plain words are the
-reference: a candidate's p-value is the share of reference words, of its length class or a
-shorter one, that are at least as close to random. The Benjamini-Hochberg rule over each
-class gives the largest distance that is still reported. Both use a histogram over all
-documents with a fixed number of bins, so nothing unbounded is sorted or collected.
+False discoveries are controlled per length class, against a fixed model of text that no
+table has to supply: words, numbers, identifiers, paths and rules as a chain of letter
+kinds with letter frequencies. A candidate's p-value is its likelihood as text over its
+likelihood as random, which under the model is at most p with chance p (Markov's
+inequality) and has no smallest value. Candidates too far from random count as tests with
+p-value one. The Benjamini-Hochberg rule over each class gives the largest p-value that is
+reported; it uses a histogram over all documents with a fixed number of bins, so nothing
+unbounded is sorted or collected. Plain words are neither tested nor reported.
 
 Defined results: null text counts as empty. Repeated rows and ids are scanned row by row.
 Only doc_id and text are read; other columns pass through `redact` whatever their names.
@@ -20,6 +23,8 @@ Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +42,20 @@ MARK = "[SECRET]"
 FALSE_DISCOVERIES = 0.01
 LENGTH_CLASSES = (20, 24, 32, 48, 80, 160)
 BINS = 256
-_BIN_WIDTH = 0.05  # of ln(1 + distance)
+_BIN_WIDTH = 0.25  # of -ln(p-value)
+# About one random string in a thousand is farther, for each alphabet and length.
+RANDOM_DISTANCE = 25.0
+
+# The model of text: chances of the kind of a character (lower, upper, digit, mark) after each
+# kind; a text begins as after a mark. Marks, and digits, are equally likely among themselves.
+_AFTER = (
+    (0.85, 0.04, 0.03, 0.08),
+    (0.66, 0.25, 0.04, 0.05),
+    (0.10, 0.05, 0.65, 0.20),
+    (0.60, 0.12, 0.15, 0.13),
+)
+# Of 1,000 letters, a to z, over European languages.
+_LETTERS = (80, 16, 32, 38, 135, 18, 19, 35, 72, 4, 8, 44, 27, 72, 62, 24, 6, 64, 67, 72, 38, 12, 12, 4, 12, 6)
 
 _ALPHABETS = {
     "decimal": "0123456789",
@@ -82,13 +100,39 @@ def _encoding(value: Column) -> Column:
     )
 
 
-def _distance(value: Column) -> Column:
-    """Sum of the squared z-scores of the three tests."""
+def _shape(value: Column) -> tuple[Column, Column, Column]:
+    """Encoding, its alphabet, and the value's characters in base64 without padding."""
     kind = _encoding(value)
     alphabet = F.lit(None).cast("string")
     for name, letters in _ALPHABETS.items():
         alphabet = F.when(kind == name, F.lit(letters)).otherwise(alphabet)
-    plain = F.translate(F.rtrim(value, F.lit("=")), "-_", "+/")
+    return kind, alphabet, F.translate(F.rtrim(value, F.lit("=")), "-_", "+/")
+
+
+def _evidence(value: Column) -> Column:
+    """-ln of the p-value: ln of the likelihood as random, by one of the encodings, over text."""
+    _, alphabet, plain = _shape(value)
+    letters = [math.log(n / sum(_LETTERS)) for n in _LETTERS]
+    marks = [math.log(1 / 3)] * 2
+    chances = F.array(*map(F.lit, marks[:1] + letters + letters + [math.log(0.1)] * 10 + marks))
+    after = F.array(*(F.lit(math.log(p)) for row in _AFTER for p in row))
+    ranks = F.transform(F.split(plain, ""), lambda c: F.instr(F.lit(_ALPHABETS["base64"]), c))  # 0 is an inner =
+
+    def kind(rank: Column) -> Column:
+        return F.when((rank == 0) | (rank > 62), 3).when(rank > 52, 2).when(rank > 26, 0).otherwise(1)
+
+    def step(state: Column, rank: Column) -> Column:
+        here = kind(rank)
+        more = F.get(chances, rank) + F.get(after, state["last"] * 4 + here)
+        return F.struct((state["sum"] + more).alias("sum"), here.alias("last"))
+
+    text = F.aggregate(ranks, F.struct(F.lit(0.0).alias("sum"), F.lit(3).alias("last")), step, lambda s: s["sum"])
+    return -F.length(plain) * F.log(F.length(alphabet)) - F.log(F.lit(float(len(_ALPHABETS)))) - text
+
+
+def _distance(value: Column) -> Column:
+    """Sum of the squared z-scores of the three tests."""
+    kind, alphabet, plain = _shape(value)
     plain = F.when(kind == "hex", F.lower(plain)).otherwise(plain)
     ranks = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c).cast("double"))
     return F.transform(F.array(F.struct(ranks.alias("x"), F.length(alphabet).cast("double").alias("k"))), _battery)[0]
@@ -130,8 +174,10 @@ def _length_class(value: Column) -> Column:
     return out
 
 
-def _bin(distance: Column) -> Column:
-    return F.least(F.floor(F.log1p(distance) / _BIN_WIDTH), F.lit(BINS - 1)).cast("int")
+def _bin(value: Column) -> Column:
+    """Whole bins of evidence; none for a value that is not random."""
+    some = F.greatest(F.floor(_evidence(value) / _BIN_WIDTH), F.lit(0))
+    return F.when(_distance(value) <= RANDOM_DISTANCE, F.least(some, F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
 
 
 def _base(text: Column) -> Column:
@@ -150,7 +196,7 @@ def _candidates(text: Column, base: Column) -> Column:
         free,
         lambda c: F.struct(
             c["start"].alias("start"), c["end"].alias("end"), _length_class(c["value"]).alias("cls"),
-            c["value"].rlike(WORD).alias("word"), _bin(_distance(c["value"])).alias("bin"),
+            c["value"].rlike(WORD).alias("word"), _bin(c["value"]).alias("bin"),
         ),
     )
 
@@ -164,37 +210,33 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def cutoffs(docs: DataFrame, false_discoveries: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """Largest reported bin of each length class, from a histogram over all documents."""
+    """Smallest reported bin of each length class, from a histogram over all documents; BINS
+    where nothing is reported."""
     counts = (
         _scanned(docs.select("doc_id", "text"))
         .select(F.explode("_candidates").alias("c"))
+        .where("not c.word")
         .groupBy("c.cls", "c.bin")
-        .agg(F.sum(F.col("c.word").cast("long")).alias("words"), F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"))
         .collect()  # at most length classes x bins rows
     )
-    words: dict[int, list[int]] = {c: [0] * BINS for c in range(len(LENGTH_CLASSES))}
-    others: dict[int, list[int]] = {c: [0] * BINS for c in range(len(LENGTH_CLASSES))}
+    tested = {c: [0] * BINS for c in range(len(LENGTH_CLASSES))}
     for row in counts:
-        words[row["cls"]][row["bin"]] += row["words"]
-        others[row["cls"]][row["bin"]] += row["n"] - row["words"]
+        tested[row["cls"]][row["bin"]] += row["n"]
     out = {}
-    reference = [0] * BINS
-    for c in range(len(LENGTH_CLASSES)):
-        reference = [a + b for a, b in zip(reference, words[c], strict=True)]
-        tests, known, closer, found, last = sum(others[c]), sum(reference), 0, 0, -1
-        for b in range(BINS):
-            closer += reference[b]
-            found += others[c][b]
-            if found and (1 + closer) / (1 + known) <= false_discoveries * found / tests:
-                last = b
-        out[c] = last
+    for c, n in tested.items():
+        found, out[c] = 0, BINS
+        for b in range(BINS - 1, 0, -1):
+            found += n[b]
+            if n[b] and math.exp(-b * _BIN_WIDTH) <= false_discoveries * found / sum(n):
+                out[c] = b
     return out
 
 
 def _all_spans(limit: dict[int, int]) -> Column:
     """Base spans and the reported candidates, in order."""
     allowed = F.create_map(*[x for c, b in limit.items() for x in (F.lit(c), F.lit(b))])
-    random = F.filter(F.col("_candidates"), lambda c: ~c["word"] & (c["bin"] <= allowed[c["cls"]]))
+    random = F.filter(F.col("_candidates"), lambda c: ~c["word"] & (c["bin"] >= allowed[c["cls"]]))
     return F.array_sort(F.concat(F.col("_base"), _tagged(random, "random")))
 
 

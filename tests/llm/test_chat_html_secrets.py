@@ -142,6 +142,25 @@ def test_random_strings_are_added_and_words_are_not(spark):
     assert not found[1005]
 
 
+def test_random_strings_are_added_without_long_words(spark):
+    rng = np.random.default_rng(5)
+    keys = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    names = "customer order report index update session manager value config release summary account".split()
+    texts = []
+    for i in range(1200):
+        a, b, c, d = (names[j] for j in rng.integers(0, len(names), 4))
+        run = [f"/{a}/{b}/{rng.integers(1, 9999)}/{c}-{d}", f"{a}{b.title()}{c.title()}{d.title()}", "=" * 40, f"{a}_{b}_{c}_{d}_{i}"][i % 4]
+        key = "".join(keys[j] for j in rng.integers(0, 64, (24, 32, 44)[i % 3]))
+        texts.append((i, f"see {run} for {key if i % 100 < 3 else 'it'} and go on"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: [texts[r["doc_id"]][1][x["start"] : x["end"]] for x in r["found"]] for r in secret_scan.scan(docs).collect()}
+    wanted = {i: [t.split(" for ")[1].split(" ")[0]] if i % 100 < 3 else [] for i, t in texts}
+    assert sum(found[i] == wanted[i] for i in wanted if wanted[i]) >= 33  # of 36
+    assert sum(found[i] != [] for i in wanted if not wanted[i]) == 0
+    alone = spark.createDataFrame([(1, "with k9Xv2TqLr8WzBn4YpD7mHs3JcGf6RaQe5UxZtK1+ alone")], docs.schema)
+    assert [x["kind"] for x in secret_scan.scan(alone).first()["found"]] == ["random"]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(random_texts(), "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "'k' as _all")
     clean = secret_scan.redact(docs)
