@@ -12,6 +12,7 @@ rule. Repeated rows and ids are measured row by row; null ids stay null. Only th
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,47 +31,76 @@ REPEAT_WINDOW = 5
 @dataclass(frozen=True)
 class Band:
     """A text within all limits stays. `entropy` is a share of the most that its token count,
-    up to `entropy_tokens`, allows; texts under `least_tokens` tokens are not judged by it."""
+    up to `entropy_tokens`, allows; texts under `least_tokens` tokens are not judged by it.
+    With `script`, the band holds for texts of that main script only."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
     entropy: float
     least_tokens: int = 32
     entropy_tokens: int = 256
+    script: str | None = None
 
 
 # Languages first, then scripts, then "other". Wide on purpose: they reject strings no writer
 # makes (encoded data, broken decoding, one phrase over and over), not unusual prose.
+# Where no piece is known, a letter is 3 or 4 byte tokens and a word has one more.
 BANDS: dict[str, Band] = {
+    **{lang: Band((1.25, 8.0), 0.25, 0.45, script="latin") for lang in ("de", "en", "es", "fr")},
+    "vi": Band((0.8, 8.0), 0.4, 0.45, script="latin"),
     "latin": Band((1.25, 12.0), 0.25, 0.45),
     "greek": Band((0.7, 8.0), 0.5, 0.4),
     "cyrillic": Band((0.9, 10.0), 0.4, 0.45),
     "hebrew": Band((0.6, 6.0), 0.7, 0.4),
     "arabic": Band((0.6, 6.0), 0.7, 0.4),
-    "indic": Band((0.3, 5.0), 1.0, 0.3),
-    "cjk": Band((0.3, 3.0), 0.95, 0.4),
-    "other": Band((0.25, 12.0), 1.0, 0.3),
+    "indic": Band((0.2, 5.0), 1.0, 0.3),
+    "cjk": Band((0.2, 3.0), 1.0, 0.4),
+    "other": Band((0.15, 12.0), 1.0, 0.3),
 }
 _SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "other")
 
 
+_NAMED = {
+    "latin": "LATIN FEMININE MASCULINE",
+    "greek": "GREEK",
+    "cyrillic": "CYRILLIC",
+    "hebrew": "HEBREW",
+    "arabic": "ARABIC",
+    "indic": "DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA THAI LAO TIBETAN",
+    "cjk": "CJK HIRAGANA KATAKANA HANGUL BOPOMOFO YI",
+}
+
+
 @lru_cache(maxsize=1)
-def _script_of_lead() -> np.ndarray:
-    """Script of a character by its first UTF-8 byte; -1 for marks and following bytes."""
-    out = np.full(256, -1, np.int8)
-    for low, high, name in (
-        (65, 90, "latin"), (97, 122, "latin"), (0xC3, 0xC9, "latin"), (0xCE, 0xCF, "greek"), (0xD0, 0xD3, "cyrillic"),
-        (0xD6, 0xD7, "hebrew"), (0xD8, 0xDB, "arabic"), (0xE0, 0xE0, "indic"), (0xE3, 0xED, "cjk"), (0xF0, 0xF4, "other"),
-    ):
-        out[low : high + 1] = _SCRIPTS.index(name)
+def _script_of_point() -> np.ndarray:
+    """Script of each code point under 65,536 by its Unicode name; -1 for what is no letter
+    or vowel sign, and for signs that any script uses."""
+    scripts = {word: _SCRIPTS.index(name) for name, words in _NAMED.items() for word in words.split()}
+    out = np.full(1 << 16, -1, np.int8)
+    for point in range(1 << 16):
+        if unicodedata.category(chr(point)) in {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc"}:
+            words = unicodedata.name(chr(point), "MODIFIER").removeprefix("FULLWIDTH ").removeprefix("HALFWIDTH ").split()
+            if words[0] in scripts:
+                out[point] = scripts[words[0]]
+            elif words[0] not in {"COMBINING", "MODIFIER", "VARIATION", "MICRO"} and not 0x2100 <= point < 0x2150:
+                out[point] = _SCRIPTS.index("other")
     return out
 
 
 def main_script(part: Slice) -> np.ndarray:
     """Index of the script with most letters; Latin where there is no letter."""
-    found = _script_of_lead()[part.data]
-    if not (found > 0).any():
+    data = part.data
+    found = np.full(len(data), -1, np.int8)
+    table = _script_of_point()
+    plain = data < 0x80
+    found[plain] = table[data[plain]]
+    if plain.all():
         return np.zeros(len(part), np.int64)
+    two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    found[two] = table[(data[two].astype(np.int32) & 31) << 6 | data[two + 1] & 63]
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    found[three] = table[(data[three].astype(np.int32) & 15) << 12 | (data[three + 1].astype(np.int32) & 63) << 6 | data[three + 2] & 63]
+    found[data >= 0xF0] = _SCRIPTS.index("other")
     owner = np.repeat(np.arange(len(part)), np.diff(part.offsets))
     has = found >= 0
     counts = np.bincount(owner[has] * len(_SCRIPTS) + found[has], minlength=len(part) * len(_SCRIPTS))
@@ -149,7 +179,9 @@ class Rules:
         scripts = [_SCRIPTS[i] for i in main_script(part)]
         reasons: list[str | None] = []
         for i, (script, lang) in enumerate(zip(scripts, langs, strict=True)):
-            band = self.bands.get(lang or "") or self.bands.get(script) or self.bands["other"]
+            band = self.bands.get(lang or "")
+            if band is None or band.script not in (None, script):
+                band = self.bands.get(script) or self.bands["other"]
             low, high = band.chars_per_token
             why = ["base"] if base[i] else []
             if tokens[i] and not low <= fertility[i] <= high:

@@ -61,6 +61,37 @@ def test_bands_reject_what_no_writer_makes(spark):
     assert judged[4] == "chars_per_token"
 
 
+CLEAN = {
+    ("ka", "other"): "ქართული ენა არის საქართველოს სახელმწიფო ენა და მას მილიონობით ადამიანი ლაპარაკობს მთელ მსოფლიოში ყოველდღე",
+    ("am", "other"): "አማርኛ የኢትዮጵያ የሥራ ቋንቋ ሲሆን ብዙ ሰዎች በየቀኑ ይናገሩታል እንዲሁም ይጽፉታል በትምህርት ቤት ይማሩታል",
+    ("my", "other"): "မြန်မာ ဘာသာ စကား သည် မြန်မာ နိုင်ငံ ၏ ရုံးသုံး ဘာသာ ဖြစ်ပြီး လူ အများ ပြော ဆို ကြသည်",
+    ("km", "other"): "ភាសា ខ្មែរ គឺជា ភាសា ផ្លូវការ របស់ ប្រទេស កម្ពុជា ហើយ មនុស្ស ជាច្រើន និយាយ វា រាល់ថ្ងៃ",
+    ("hy", "other"): "Հայերենը Հայաստանի պետական լեզուն է և այն խոսում են միլիոնավոր մարդիկ ամբողջ աշխարհում ամեն օր",
+    ("chr", "other"): "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ ᎠᏂᏴᏫᏯ ᎤᎾᏤᎵ ᎦᏬᏂᎯᏍᏗ ᎨᏒᎢ ᎠᎴ ᎤᏂᏣᏘ ᎠᏂᏬᏂᏍᎬ ᎪᎯ ᎢᎦ",
+    ("dv", "other"): "ދިވެހި ބަހަކީ ދިވެހިރާއްޖޭގެ ރަސްމީ ބަހެވެ އަދި އެއީ ގިނަ ބަޔަކު ވާހަކަ ދައްކާ ބަހެކެވެ މިއަދު ވެސް",
+    ("ff", "other"): "𞤆𞤵𞤤𞤢𞤪 𞤫𞤲 𞤲𞤺𞤮𞤲𞤭 𞤯𞤫𞤥𞤺𞤢𞤤 𞤢𞤬𞤪𞤭𞤳 𞤸𞤭𞥅𞤪𞤲𞤢𞥄𞤲𞤺𞤫 𞤱𞤮𞤲𞤣𞤫 𞤫 𞤧𞤢𞤲𞤼𞤪𞤢𞤤 𞤥𞤢𞤧𞤭𞤲",
+    ("th", "indic"): "ภาษา ไทย เป็น ภาษา ราชการ ของ ประเทศ ไทย และ มี ผู้พูด หลาย ล้าน คน",
+    ("si", "indic"): "සිංහල භාෂාව ශ්‍රී ලංකාවේ රාජ්‍ය භාෂාවක් වන අතර බොහෝ දෙනා එය දිනපතා කතා කරති",
+    ("gu", "indic"): "ગુજરાતી ભાષા ભારત દેશના ગુજરાત રાજ્યની મુખ્ય ભાષા છે અને ઘણા લોકો તે બોલે છે",
+    ("ko", "cjk"): "한국어는 많은 사람들이 매일 쓰는 말이며 학교와 집에서 아이들이 배우고 읽고 쓰는 언어이다",
+    ("el", "greek"): "Η ελληνική γλώσσα είναι μία από τις αρχαιότερες γλώσσες του κόσμου και μιλιέται σήμερα από πολλούς",
+    ("ru", "cyrillic"): "Комитет собрался в понедельник и несколько членов спросили почему план изменился с прошлой весны",
+    ("he", "hebrew"): "הוועדה נפגשה ביום שני וכמה חברים שאלו מדוע התוכנית השתנתה מאז האביב שעבר",
+    ("ar", "arabic"): "اجتمعت اللجنة يوم الاثنين وسأل العديد من الأعضاء لماذا تغيرت الخطة منذ الربيع الماضي",
+    ("vi", "latin"): "Ủy ban đã họp vào thứ Hai và một số thành viên hỏi tại sao kế hoạch đã thay đổi kể từ mùa xuân",
+    ("en", "latin"): "The committee met on Monday and several members asked why the plan had changed since the spring",
+}
+
+
+def test_clean_text_of_each_script_stays(spark):
+    named = [(i, text, lang) for i, ((lang, _), text) in enumerate(CLEAN.items())]
+    unnamed = [(100 + i, text, "en") for i, text, lang in named if lang != "vi"]  # a wrong language does not reject either
+    docs = spark.createDataFrame(named + unnamed, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: (r["script"], r["rejected_by"]) for r in fertility.quality_measures(docs).collect()}
+    for i, (_, script) in enumerate(CLEAN):
+        assert found[i] == (script, None) and found.get(100 + i, found[i]) == found[i], named[i][2]
+
+
 def test_rules_keep_rows_and_columns(documents, empty):
     kept = fertility.keep_good(documents)
     assert kept.schema == documents.schema
