@@ -25,7 +25,15 @@ from pyspark.sql import DataFrame
 
 # Element groups of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = set("head script style template noscript title meta link iframe object svg math canvas audio video datalist dialog".split())
+UNSEEN = set("head script style template noscript title meta link iframe object canvas audio video datalist".split())
+# Of svg and math: what draws no text, elements whose content is html again, and html tags that end them.
+FOREIGN = {"svg", "math"}
+UNDRAWN = set("defs symbol clippath mask marker pattern filter lineargradient radialgradient metadata desc annotation annotation-xml mphantom".split())
+INNER_HTML = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
+)
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section select summary table ul".split()
@@ -33,6 +41,10 @@ BLOCK = set(
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
 LISTS = {"ul", "ol", "menu", "dir"}
 CELLS = {"td", "th"}
+GROUPS = {"thead", "tbody", "tfoot"}
+# Parts of a table stand in the nearest of these; what was opened in between ends there.
+STANDS_IN = {"td": GROUPS | {"tr", "table"}, "th": GROUPS | {"tr", "table"}, "tr": GROUPS | {"table"}}
+STANDS_IN |= dict.fromkeys(GROUPS | {"caption", "colgroup", "col"}, {"table"})
 # An opening tag closes these open elements, up to the nearest of the barriers.
 CLOSES: dict[str, tuple[set[str], set[str]]] = {
     "li": ({"li"}, LISTS),
@@ -61,11 +73,14 @@ class Node:
     tag: str
     attrs: dict[str, str | None] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    foreign: bool = False  # an element of svg or math
 
     def hidden(self) -> bool:
         return (
             self.tag in UNSEEN
             or "hidden" in self.attrs
+            or (self.tag == "dialog" and "open" not in self.attrs)
+            or (self.foreign and (self.tag in UNDRAWN or self.attrs.get("display") == "none" or self.attrs.get("visibility") in {"hidden", "collapse"}))
             or bool(_HIDDEN_STYLE.search(self.attrs.get("style") or ""))
             or (self.tag == "input" and (self.attrs.get("type") or "").lower() == "hidden")
         )
@@ -96,22 +111,60 @@ class TreeBuilder(HTMLParser):
         if last is not None:
             self._pop_to(last)
 
+    def _in_foreign(self) -> int:
+        """Place of the svg or math whose own content is open; 0 in html."""
+        inside = False
+        for at in range(len(self.open) - 1, 0, -1):
+            node = self.open[at]
+            if not node.foreign or (node.tag in INNER_HTML and not inside):
+                return 0
+            inside = True
+            if node.tag in FOREIGN:
+                return at
+        return 0
+
+    def _end_strays(self, tag: str) -> None:
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag in STANDS_IN[tag]:
+                self._pop_to(at + 1)
+                return
+            if self.open[at].tag in CELLS | {"table", "caption"}:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        outer = self._in_foreign()
+        if outer and (tag in BREAKOUT or (tag == "font" and {"color", "face", "size"} & dict(attrs).keys())):
+            self._pop_to(outer)
+            self.handle_starttag(tag, attrs)
+            return
+        if outer:
+            node = Node(tag, dict(attrs), foreign=True)
+            self.open[-1].children.append(node)
+            if len(self.open) < DEPTH or node.hidden():
+                self.open.append(node)
+            return
         if tag == "html" or (tag == "body" and any(n.tag == "body" for n in self.open)):
             self.open[0].attrs |= dict(attrs)
             return
         self._imply_ends(tag)
+        if tag in STANDS_IN:
+            self._end_strays(tag)
         if tag in CELLS and self.open[-1].tag in {"table", "thead", "tbody", "tfoot"}:
             self.handle_starttag("tr", [])
         if self.open[-1].tag == "head" and tag not in UNSEEN | {"base", "meta"}:
             self._pop_to(len(self.open) - 1)
-        node = Node(tag, dict(attrs))
+        if tag == "form" and self.open[-1].tag in GROUPS | {"table", "tr"}:
+            return  # holds nothing there: cells and rows go on as if it weren't
+        node = Node(tag, dict(attrs), foreign=tag in FOREIGN)
         self.open[-1].children.append(node)
         if tag not in VOID and (len(self.open) < DEPTH or node.hidden()):
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing on other than void tags
+        self.handle_starttag(tag, attrs)
+        # The slash ends elements of svg and math; on html tags it means nothing.
+        if self.open[-1].foreign and self.open[-1].tag == tag:
+            self._pop_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -173,6 +226,19 @@ class Layout:
         return self.lines
 
 
+def _drawing(node: Node, out: Layout) -> None:
+    """Text of an svg: each text element apart, html of foreignObject."""
+    for child in node.children:
+        if isinstance(child, str) or child.hidden():
+            continue
+        if child.tag in {"text", "foreignobject"}:
+            out.text(" ")
+            render(child, out)
+            out.text(" ")
+        else:
+            _drawing(child, out)
+
+
 def render(node: Node, out: Layout, keep: bool = False, ordinal: list[int] | None = None) -> None:
     for child in node.children:
         if isinstance(child, str):
@@ -181,7 +247,9 @@ def render(node: Node, out: Layout, keep: bool = False, ordinal: list[int] | Non
         if child.hidden():
             continue
         tag = child.tag
-        if tag == "br":
+        if tag == "svg":
+            _drawing(child, out)
+        elif tag == "br":
             out.newline(force=True)
         elif tag == "hr":
             out.block(True)
@@ -235,10 +303,21 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and not child.hidden():
             if child.tag == "tr":
                 yield child
-            elif child.tag in {"thead", "tbody", "tfoot"}:
+            elif child.tag in GROUPS:
                 yield from _rows(child)
 
 
+def _strays(node: Node, parts: set[str]) -> Iterator[Node | str]:
+    """What stands in a table, its row groups and rows without being a part of one."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag not in parts:
+            yield child
+        elif child.tag not in CELLS | {"col"}:
+            inner = list(_strays(child, {"tr": CELLS, "colgroup": {"col"}}.get(child.tag, {"tr"})))
+            if any(c.strip() if isinstance(c, str) else True for c in inner):
+                yield from (*inner, " ")
+
+
 def _span(cell: Node) -> int:
     value = cell.attrs.get("colspan") or "1"
     return min(1000, int(value)) if value.isdigit() and int(value) else 1
@@ -246,7 +325,7 @@ def _span(cell: Node) -> int:
 
 def _table(node: Node, out: Layout) -> None:
     """Cells of a row side by side, each column as wide as its widest cell of one column."""
-    stray = [c for c in node.children if isinstance(c, str) or c.tag not in {"thead", "tbody", "tfoot", "tr", "colgroup", "col"}]
+    stray = list(_strays(node, GROUPS | {"tr", "colgroup", "col"}))
     if any(c.strip() if isinstance(c, str) else True for c in stray):
         render(Node("caption", {}, stray), out)
         out.block(False)

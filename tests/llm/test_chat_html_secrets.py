@@ -73,6 +73,26 @@ def test_rendering(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><tbody><form><tr><td>a<td>b</form></tbody></table>", "a  b"),
+        ("<table><tr>one<td>a</td></tr><tbody>two<tr><td>b</table>", "one two\na\nb"),
+        ("<table><tr><div>up<td>cell</div></table>", "up\ncell"),
+        ("<table><tr><td>a<table><tr><td>in</table>b</table>", "a\nin\nb"),
+        ("<body><svg width=1 />after<p>more", "after\n\nmore"),
+        ("a<svg><path d='M0'/><title>no</title><defs><text>no</text></defs><g><text>la<tspan>bel</tspan></text></g></svg>b", "a label b"),
+        ("<svg><circle><p>shown", "shown"),
+        ("<svg><foreignObject><p>html</p></foreignObject></svg>x", "html\n\nx"),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> then", "if x=2 then"),
+        ("<dialog open>seen</dialog><dialog>no</dialog>", "seen"),
+    ],
+)
+def test_all_visible_text_is_rendered(html, text):
+    assert html_text.visible_text(html) == text
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (None, "<p>x"), (-3, "<div>" * 3000 + "deep" + "</div>" * 3000)], pages.schema)
