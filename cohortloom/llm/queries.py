@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, html_text, langid, maxent_lm, ngram_join, packing, repeats, secret_scan
+from . import best_fit, chat, decontaminate, fertility, html_text, langid, maxent_lm, ngram_join, packing
+from . import ranked_search, repeats, secret_scan, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,36 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(_table(spark, sf_dir, "documents"), langid.id_fold(7) == F.lit(2))
+
+
+@_query
+def op11_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+_TERMS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op11_best_position_search"] = (
+    f"with d as materialized (select row_number() over () as r, doc_id, {_TERMS} as t from documents), "
+    "n as (select r, doc_id, len(t) as n from d where len(t) > 0), "
+    "g as materialized (select count(*) as docs, cast(sum(n) as bigint) as terms from n), "
+    f"i as materialized (select item_id, t, count(*) as c from (select item_id, unnest({_TERMS}) as t from benchmark) group by all), "
+    "p as materialized (select r, t, count(*) as tf from (select r, unnest(t) as t from d) semi join i using (t) group by all), "
+    "w as (select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by t, docs), "
+    "e as (select r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) as e "
+    "from p join n using (r) join w using (t), g), "
+    "s as (select item_id, r, sum(c * e) as score from i join e using (t) group by all) "
+    "select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, "
+    "cast(score as bigint) as score from s join n using (r) where score > 0 "
+    "qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10"
+)

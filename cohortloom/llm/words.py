@@ -56,10 +56,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Slice:
     """Consecutive texts of a batch: bytes, text offsets, word bounds, first word of each text."""
 
-    def __init__(self, low: int, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, low: int, data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE):
         self.low, self.data, self.offsets = low, data, offsets
         self.size = len(offsets) - 1
-        inside = ~_SPACE[data]
+        inside = ~gap[data]
         begins = np.empty(len(data) + 1, np.bool_)
         begins[0], begins[-1] = True, True
         begins[1:-1] = ~inside[:-1]
@@ -130,8 +130,9 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, length: int, seed: int = 0
     return mix((total[at + length] - total[at]) * down[at] + np.uint64(length))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of a column in order; null is an empty text. A text is never cut."""
+def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES, gap: np.ndarray = _SPACE) -> Iterator[Slice]:
+    """The texts of a column in order; null is an empty text. A text is never cut. `gap` marks
+    the bytes between words."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(chunk):
             continue
@@ -146,7 +147,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
             high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + most, "right")) - 1)
             high = min(high, low + 20_000, len(chunk))
             part = bounds[low : high + 1]
-            yield Slice(low, raw[part[0] : part[-1]], part - part[0])
+            yield Slice(low, raw[part[0] : part[-1]], part - part[0], gap)
             low = high
 
 
