@@ -3,11 +3,15 @@
 Rows are range-partitioned by the full order key, sorted inside partitions and
 written once, so their partition and position are facts that later stages can
 join on. A global rank is then "rows in earlier partitions + position here".
-Only per-partition totals (a row per partition and group) meet in one task.
+Only per-partition totals (a row per partition and group) meet in one task. Where only a
+few ranks matter, as for equal-count groups, counts per interval find them and rows stay put.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +75,84 @@ def running_sums(
     )
 
 
+_BINS = 4096
+_FINE_BINS = 1024
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The value at a zero-based rank, how many rows are smaller, and how many equal it."""
+
+    rank: int
+    value: float
+    below: int
+    ties: int
+
+
+def values_at_ranks(df: DataFrame, value: Column, ranks: list[int]) -> list[Cut]:
+    """Exact values at some ranks, without ordering rows.
+
+    A pass counts rows per interval and keeps each interval's ends; the interval that holds a
+    wanted rank is split further in the next pass until it is a single value. Only interval
+    counts leave a task: at most one row per interval, whatever the data.
+    """
+    rows = df.select(value.cast("double").alias("v")).where("v is not null")
+    ends = rows.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+    # Open intervals: (lower end, upper end, rows below it, wanted ranks inside).
+    open_ = [(ends["a"], ends["b"], 0, sorted(ranks))] if ranks and ends["a"] is not None else []
+    found: list[Cut] = []
+    bins = _BINS
+    while open_:
+        v, where, place = F.col("v"), F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i, (a, b, _, _) in enumerate(open_):
+            inside = v.between(F.lit(a), F.lit(b))
+            step = F.least(F.floor((v - a) / (b - a) * bins), F.lit(bins - 1)) if a < b else F.lit(0)
+            where = F.when(inside, i).otherwise(where)
+            place = F.when(inside, step.cast("int")).otherwise(place)
+        counted = rows.select("v", where.alias("i"), place.alias("bin")).where("i is not null")
+        counted = counted.groupBy("i", "bin").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        held: dict[int, list] = {}
+        for r in counted.collect():  # at most open intervals x bins
+            held.setdefault(r["i"], []).append((r["bin"], r["n"], r["a"], r["b"]))
+        narrower = []
+        for i, (_, _, below, wanted) in enumerate(open_):
+            for _, n, a, b in sorted(held[i]):
+                mine = [w for w in wanted if below <= w < below + n]
+                if mine and a == b:
+                    found += [Cut(w, a, below, n) for w in mine]
+                elif mine:
+                    narrower.append((a, b, below, mine))
+                below += n
+        open_, bins = narrower, _FINE_BINS
+    return sorted(found, key=lambda c: c.rank)
+
+
 def equal_count_groups(
     df: DataFrame, order: list[Column], total: int, groups: int, name: str = "group"
 ) -> DataFrame:
-    """Contiguous groups whose sizes differ by at most one, larger ones first."""
+    """Contiguous groups whose sizes differ by at most one, larger ones first.
+
+    The first order key is a number and decides alone, except for rows that share its value
+    where a group begins: only those are ranked by the other keys.
+    """
     small, larger = divmod(total, groups)
-    edge = larger * (small + 1)
-    zero_based = F.col("rank") - 1
-    label = F.when(zero_based < edge, F.floor(zero_based / (small + 1))).otherwise(
-        larger + F.floor((zero_based - edge) / max(small, 1))
-    )
-    return global_rank(df, order).withColumn(name, (label + 1).cast("int")).drop("rank")
+    starts = [g * small + min(g, larger) for g in range(1, groups) if g * small + min(g, larger) < total]
+    score, *keys = order
+    cuts = values_at_ranks(df, score, starts)
+    # Past a start: a larger value, or an equal one that is not among the first `rank - below`.
+    inner = [c for c in cuts if c.rank > c.below]
+    clear = [F.lit(1)] + [(score > c.value if c.rank > c.below else score >= c.value).cast("int") for c in cuts]
+    label = reduce(lambda a, b: a + b, clear)
+    split = {c.value: c for c in inner}
+    if not split:
+        return df.withColumn(name, label.cast("int"))
+    tied = score.isin(*split)
+    free = df.where(~F.coalesce(tied, F.lit(False))).withColumn(name, label.cast("int"))
+    ranked = global_rank(df.where(tied), [score, *keys])
+    earlier, offset = 0, F.lit(0)
+    for c in sorted(split.values(), key=lambda c: c.value):
+        offset = F.when(score == c.value, c.below - earlier).otherwise(offset)
+        earlier += c.ties
+    rank = F.col("rank") - 1 + offset
+    group = reduce(lambda a, b: a + b, [F.lit(1)] + [(rank >= s).cast("int") for s in starts])
+    return free.unionByName(ranked.withColumn(name, group.cast("int")).drop("rank"))

@@ -1,8 +1,10 @@
 """Column profiles: counts, types, top values, samples, numeric summaries.
 
-One long (column, value) aggregate feeds every statistic, so the table is
+One long (column, fingerprint) aggregate feeds every statistic, so the table is
 scanned once whatever its width, repeated values combine before the shuffle,
-and no statistic needs a whole column in one task.
+and no statistic needs a whole column in one task. A fingerprint is the length
+and a 128-bit hash of a value; whole texts are read again only for the values
+that a profile lists, however long the cells are.
 """
 
 from __future__ import annotations
@@ -21,7 +23,15 @@ from .ordered import running_sums
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value, label, number, count) of every present value."""
-    columns = columns or df.columns
+    cells = _cells(df, columns or df.columns)
+    return cells.groupBy("column", "value", "label", "number").agg(F.count("*").alias("count"))
+
+
+HEAD = 64  # leading characters that order values of equal count, before whole texts do
+
+
+def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, label, number) of every present cell, as structs unrolled by the scan."""
     cells = []
     for name in columns:
         dtype, cell = df.schema[name].dataType, F.col(f"`{name}`")
@@ -37,14 +47,61 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 is_missing(cell, dtype).alias("gone"),
             )
         )
+    return df.select(F.inline(F.array(*cells))).filter(~F.col("gone")).drop("gone")
+
+
+def _fingerprint(text: str) -> Column:
+    return F.struct(F.length(text).alias("length"), F.unhex(F.md5(text)).alias("hash"))
+
+
+def fingerprint_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, key, label_key, number, head, count) of every present value. Rows have a bounded
+    width: the value itself stays behind, but for its first HEAD characters."""
+    cells = _cells(df, columns or df.columns)
+    key = _fingerprint("value")
+    label_key = F.when(F.col("label") == F.col("value"), key).when(F.col("label").isNotNull(), _fingerprint("label"))
     return (
-        df.select(F.inline(F.array(*cells)))
-        .filter(~F.col("gone"))
-        .groupBy("column", "value", "label", "number")
+        cells.select("column", key.alias("key"), label_key.alias("label_key"), "number", F.substring("value", 1, HEAD).alias("head"))
+        .groupBy("column", "key", "label_key", "number", "head")
         .agg(F.count("*").alias("count"))
     )
 
 
+def listed_values(df: DataFrame, counts: DataFrame, columns: list[str] | None = None, limit: int = fv.VALUE_COUNT_LIMIT) -> DataFrame:
+    """(column, value, count, rank) like `top_values`, with texts only for values that may be
+    listed. Values of equal count follow the text; where more of them share their head than
+    the list holds, longer heads are compared first, so a task never orders whole columns."""
+    columns = columns or df.columns
+    keyed = _cells(df, columns).select("column", _fingerprint("value").alias("key"), "value")
+    width, keys = HEAD, ["column", "key"]
+    maybe = counts.groupBy(*keys, "head").agg(F.sum("count").alias("count"))
+    while True:
+        maybe = materialize(_first_heads(maybe, limit))
+        crowd = maybe.groupBy("column").agg(F.count("*").alias("n"), F.max(F.length("head")).alias("w")).agg(F.max("n"), F.max("w")).first()
+        # At most a few times the listed values are left, or all of them are known to their ends.
+        if not crowd[0] or crowd[0] <= 4 * limit or crowd[1] < width:
+            break
+        width *= 8
+        longer = keyed.select(*keys, F.substring("value", 1, width).alias("head")).join(maybe.select(*keys), keys, "left_semi").distinct()
+        maybe = maybe.drop("head").join(longer, keys)
+    few = maybe.select("column", "key", "count")
+    if (crowd[0] or 0) <= 4 * limit:
+        few = F.broadcast(few)  # columns x 4 x limit rows at most
+    return top_values(keyed.join(few, keys).groupBy(*keys, "value", "count").agg(F.lit(0)), limit)
+
+
+def _first_heads(maybe: DataFrame, limit: int) -> DataFrame:
+    """Values whose count and head put them among the first `limit` of their column, and those
+    that tie with the last of them. Only one row per count and head is ordered."""
+    heads = maybe.groupBy("column", "count", "head").agg(F.count("*").alias("values"))
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "head")
+    first = heads.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("earlier", F.coalesce(F.sum("values").over(before), F.lit(0))).filter(F.col("earlier") < limit)
+    # At most `limit` rows a column.
+    return maybe.join(F.broadcast(first.select("column", "count", "head")), ["column", "count", "head"])
+
+
 def top_values(counts: DataFrame, limit: int = fv.VALUE_COUNT_LIMIT) -> DataFrame:
     """(column, value, count, rank): most frequent first, ties by value.
 
@@ -104,9 +161,11 @@ class Profile:
     rows: int
     columns: DataFrame
     counts: DataFrame
+    frame: DataFrame
+    names: list[str]
 
     def top(self, limit: int = fv.VALUE_COUNT_LIMIT) -> DataFrame:
-        return top_values(self.counts, limit)
+        return listed_values(self.frame, self.counts, self.names, limit)
 
 
 def _type_rule(schema: T.StructType, mode: str) -> Column:
@@ -144,16 +203,16 @@ def profile(df: DataFrame, mode: str = "analysis", columns: list[str] | None = N
     columns = columns or df.columns
     rows = df.count()
     # Stored once: totals, top values, samples and medians all read it.
-    counts = materialize(value_counts(df, columns))
+    counts = materialize(fingerprint_counts(df, columns))
     # Labels are counted without holding a column's label set in one task.
-    by_label = counts.groupBy("column", "label").agg(
+    by_label = counts.groupBy("column", "label_key").agg(
         F.sum("count").alias("n"), F.count("*").alias("values"),
         F.min("number").alias("low"), F.max("number").alias("high"),
     )
     facts = by_label.groupBy("column").agg(
         F.sum("n").alias("non_null"),
         F.sum("values").alias("unique_count"),
-        F.count("label").alias("label_count"),
+        F.count("label_key").alias("label_count"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
     )
@@ -178,7 +237,7 @@ def profile(df: DataFrame, mode: str = "analysis", columns: list[str] | None = N
         F.round("high", 3).alias("max_value"),
         (F.col("unique_count") > fv.VALUE_COUNT_LIMIT).alias("value_counts_truncated"),
     )
-    return Profile(rows, table, counts)
+    return Profile(rows, table, counts, df, columns)
 
 
 def presence_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

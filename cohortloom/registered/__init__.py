@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 # Modules that register queries when imported.
-_MODULES = ("cleaning", "profiling", "modelling", "lineage", "files")
+_MODULES = ("cleaning", "profiling", "modelling", "curves", "lineage", "files")
 
 
 def load():

@@ -135,6 +135,20 @@ def _(spark, sf):
     return _as_rows(prof.profile(table(spark, sf, "documents")))
 
 
+_TEXTS = ("text", "lang", "source")
+
+
+@query(
+    "profile_documents_top_values",
+    "with c as ("
+    + " union all ".join(f"select '{n}' as column_name, {n} as value, count(*) as count from documents where not {sql_missing(n)} group by {n}" for n in _TEXTS)
+    + ") select column_name, value, count, rank from "
+    "(select *, row_number() over (partition by column_name order by count desc, value) as rank from c) where rank <= 100",
+)
+def _(spark, sf):
+    return prof.profile(table(spark, sf, "documents"), columns=list(_TEXTS)).top().withColumnRenamed("column", "column_name")
+
+
 # ---------------------------------------------------------------- summaries
 
 _COHORT = (
