@@ -203,7 +203,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     offsets = tasks.select("length", "task", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier"))
     fields = _PIECES + (_IDS if with_ids else [])
     names = [f.name for f in fields]
-    ranked = pieces.join(offsets, ["length", "task"]).select(*names, (F.col("earlier") + F.col("nth")).alias("rank"))
+    # A row per length and task grows with the input, so it is shuffled, never broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).select(*names, (F.col("earlier") + F.col("nth")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
