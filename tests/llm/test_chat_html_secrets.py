@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -190,3 +192,127 @@ def test_redaction(spark):
     assert texts[1001]["text"] is None and texts[1002]["text"] == ""
     assert texts[2]["text"].count(secret_scan.MARK) == 1 and texts[2]["n_chars"] == len(texts[2]["text"])
     assert secret_scan.scan(docs.where("false")).count() == 0
+
+
+ALPHABETS = {
+    "decimal": "0123456789",
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+def shape(value):
+    kinds = [("decimal", "[0-9]+"), ("hex", "[0-9a-f]+|[0-9A-F]+"), ("base32", "[A-Z2-7]+=*")]
+    kind = next((k for k, pattern in kinds if re.fullmatch(pattern, value)), "base64")
+    return kind, ALPHABETS[kind], value.rstrip("=").replace("-", "+").replace("_", "/")
+
+
+def battery(value):
+    """The three p-values of a candidate as random, and their Cauchy combination."""
+    kind, letters, plain = shape(value)
+    x = np.array([letters.find(c) + 1 for c in (plain.lower() if kind == "hex" else plain)], float)
+    n, k = len(x), len(letters)
+    if n <= 3:
+        return 1e-28
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = k / n * sum(c * c for c in Counter(x.tolist()).values()) - n
+    shape_ = 9 * (k - 1) * n / (2 * (n - 1))
+    uniform = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - 1 + 1 / shape_) * math.sqrt(shape_))
+    side = x > k / 2
+    high, changes = side.sum(), (side[1:] != side[:-1]).sum()
+    expected = 2 * high * (n - high) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    runs = 2 * tail(max(abs(changes + 1 - expected) - 0.5, 0) / math.sqrt(spread) if spread > 0 else math.sqrt(n))
+    centred = x - x.mean()
+    scale = (centred**2).sum()
+    serial = 2 * tail(abs((centred[1:] * centred[:-1]).sum() / scale + 1 / n) * n * math.sqrt(n - 1) / (n - 2) if scale > 0 else math.sqrt(n))
+    weights = [1 / (p * math.pi) if (p := min(max(q, 1e-28), 0.99)) < 1e-8 else math.tan((0.5 - p) * math.pi) for q in (uniform, runs, serial)]
+    t = sum(weights) / 3
+    return 1 / (t * math.pi) if t > 1e8 else 0.5 - math.atan(t) / math.pi
+
+
+def text_evidence(value):
+    _, letters, plain = shape(value)
+    total, last = 0.0, 3
+    for c in plain:
+        rank = ALPHABETS["base64"].find(c) + 1
+        here = 3 if rank == 0 or rank > 62 else 2 if rank > 52 else 0 if rank > 26 else 1
+        chance = 1 / 3 if here == 3 else 0.1 if here == 2 else secret_scan._LETTERS[(rank - 1) % 26] / sum(secret_scan._LETTERS)
+        total += math.log(chance) + math.log(secret_scan._AFTER[last][here])
+        last = here
+    return -len(plain) * math.log(len(letters)) - math.log(4) - total
+
+
+def rejected(bins, share):
+    """Benjamini-Hochberg, candidate by candidate: the smallest bin that is rejected."""
+    ranked, out = sorted(bins, reverse=True), 256
+    for b in sorted(set(ranked), reverse=True):
+        if b and math.exp(-b * 0.25) <= share * sum(x >= b for x in ranked) / len(ranked):
+            out = b
+    return out
+
+
+def random_spans(rows, share):
+    found = defaultdict(list)
+    for row, (_, text) in enumerate(rows):
+        base = base_spans(text)
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+            if not re.fullmatch("[A-Za-z][a-z]+", m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                cls = sum(len(m[0]) >= least for least in (20, 24, 32, 48, 80, 160)) - 1
+                bins = [min(255, max(0, math.floor(v / 0.25))) for v in (-math.log(max(battery(m[0]), 1e-28)), text_evidence(m[0]))]
+                found[cls].append((row, m.start(), m.end(), *bins))
+    out = defaultdict(list)
+    for own in found.values():
+        structured = rejected([c[3] for c in own], share)
+        least = rejected([c[4] if c[3] < structured else 0 for c in own], share)
+        for row, a, b, random, text in own:
+            if random < structured and text >= least:
+                out[row].append((a, b))
+    return out
+
+
+def test_random_spans_match_brute_force(spark, documents, rows):
+    rng = np.random.default_rng(8)
+    texts = random_texts()
+    for i in range(400):
+        letters = list(ALPHABETS.values())[i % 4]
+        run = "".join(letters[j] for j in rng.integers(0, len(letters), int(rng.integers(20, 200))))
+        texts.append((2000 + i, f"a {run if i % 3 else run[:10] * 5} z {'path/to/' * int(rng.integers(3, 9))}file_{i} password={run[:9]}"))
+    for own in (texts, rows):
+        docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(own)], "doc_id long, text string")
+        wanted = random_spans(own, 0.01)
+        got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"] if x["kind"] == "random"] for r in secret_scan.scan(docs).collect()}
+        assert got == {i: sorted(wanted[i]) for i in range(len(own))}
+    assert sum(map(len, random_spans(texts, 0.01).values())) > 150
+
+
+def test_battery_keeps_its_level(spark):
+    """Of random strings few have small p-values, at each length and alphabet; of structured ones most."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for kind, letters in ALPHABETS.items():
+        for n in (24, 40, 100, 400):
+            rows += [(kind, n, "".join(letters[j] for j in rng.integers(0, len(letters), n))) for _ in range(400)]
+            rows += [("loop", n, (letters[:7] * n)[:n]) for _ in range(5)] + [("walk", n, (letters * n)[:n])]
+    low = defaultdict(list)
+    for kind, n, value in rows:
+        low[kind, n].append(battery(value) < 0.01)
+    assert all(np.mean(v) <= 0.03 for (kind, _), v in low.items() if kind in ALPHABETS)
+    assert all(np.mean(v) == 1 for (kind, n), v in low.items() if kind in ("loop", "walk") and n >= 100)
+
+
+def test_long_runs_and_many_matches_in_one_text(spark):
+    rng = np.random.default_rng(10)
+    keys = np.frombuffer(ALPHABETS["base64"].encode(), np.uint8)
+    image = bytes(keys[rng.integers(0, 64, 1_000_000)]).decode()
+    many = " ".join(f"token={i:08d}" for i in range(100_000))
+    texts = [(1, f"é {image} end"), (2, many), (3, "short")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    begin = time.time()
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert found[2]["n_assign"] == 100_000 and found[2]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(many)).encode()).hexdigest()
+    assert [(x["kind"], x["start"], x["end"]) for x in found[1]["found"]] == [("random", 2, 1_000_002)]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert clean == {1: "é [SECRET] end", 2: " ".join(["[SECRET]"] * 100_000), 3: "short"}
+    assert time.time() - begin < 120
