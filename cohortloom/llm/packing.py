@@ -34,22 +34,25 @@ class Limits:
     loss_tokens: int = 4096
 
 
-# Examples that wait in a task; a pool this deep always has something that fits.
+# Examples that wait in a task; a pool this deep always has something that fits. Fewer wait
+# when they are long: beyond so many tokens the pool takes no more.
 POOL = 512
+POOL_TOKENS = 1 << 21
 
 
 class Packer:
     """Sequences of one task. Takes (key, ids, loss mask) and gives finished pieces."""
 
-    def __init__(self, limits: Limits, first_sequence: int, cut: bool = True, pool: int = POOL):
-        self.limits, self.cut, self.depth = limits, cut, pool
+    def __init__(self, limits: Limits, first_sequence: int, cut: bool = True, pool: int = POOL, pool_tokens: int = POOL_TOKENS):
+        self.limits, self.cut, self.depth, self.most = limits, cut, pool, pool_tokens
         self.sequence = first_sequence
         self.full = np.array([limits.tokens, limits.segments, limits.loss_tokens], np.float64)
         self.free = self.full.copy()
         self.keys: list = []
         self.ids: list[np.ndarray] = []
-        self.loss: list[np.ndarray] = []
-        self.at: list[int] = []
+        self.borne: list[np.ndarray] = []  # loss-bearing tokens before each place
+        self.at: list[int] = []  # place in what is held; `gone` places before it are not held any more
+        self.gone: list[int] = []
         self.size = np.zeros(0)
         self.lossy = np.zeros(0)
 
@@ -70,26 +73,28 @@ class Packer:
         """Tokens of example i that still fit."""
         n = int(min(self.size[i], self.free[0]))
         if self.free[2] < self.lossy[i]:
-            borne = np.cumsum(self.loss[i][self.at[i] :])
-            n = min(n, int(np.searchsorted(borne, self.free[2], "right")))
+            ahead = self.borne[i][self.at[i] : self.at[i] + n + 1]  # at most a sequence of places
+            n = int(np.searchsorted(ahead - ahead[0], self.free[2], "right")) - 1
         return n if self.free[1] >= 1 else 0
 
     def _place(self, i: int, n: int) -> tuple:
         begin = self.at[i]
         piece = self.ids[i][begin : begin + n]
-        loss = self.loss[i][begin : begin + n]
-        out = (self.keys[i], begin, piece, loss, len(self.ids[i]), self.sequence, int(self.full[0] - self.free[0]))
-        borne = int(loss.sum())
+        borne = int(self.borne[i][begin + n] - self.borne[i][begin])
+        out = (self.keys[i], self.gone[i] + begin, piece, borne, self.gone[i] + len(self.ids[i]), self.sequence, int(self.full[0] - self.free[0]))
         self.free -= (n, 1, borne)
         self.at[i] += n
         self.size[i] -= n
         self.lossy[i] -= borne
         if self.size[i] <= 0:
-            for kept in (self.keys, self.ids, self.loss, self.at):
+            for kept in (self.keys, self.ids, self.borne, self.at, self.gone):
                 kept[i] = kept[-1]
                 kept.pop()
             self.size[i], self.lossy[i] = self.size[-1], self.lossy[-1]
             self.size, self.lossy = self.size[:-1], self.lossy[:-1]
+        elif 2 * self.size[i] < len(self.ids[i]):  # let go of what is placed, each id being copied once or twice
+            self.ids[i], self.borne[i] = self.ids[i][self.at[i] :].copy(), self.borne[i][self.at[i] :].copy()
+            self.gone[i], self.at[i] = self.gone[i] + self.at[i], 0
         if self.free[0] < 1 or self.free[1] < 1:
             self._next_sequence()
         return out
@@ -111,11 +116,13 @@ class Packer:
             part = slice(low, low + self.depth)
             self.keys += keys[part]
             self.ids += ids[part]
-            self.loss += loss[part]
+            borne = [np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in loss[part]]
+            self.borne += borne
             self.at += [0] * len(keys[part])
+            self.gone += [0] * len(keys[part])
             self.size = np.concatenate([self.size, [len(x) for x in ids[part]]])
-            self.lossy = np.concatenate([self.lossy, [int(x.sum()) for x in loss[part]]])
-            while len(self.keys) > self.depth:
+            self.lossy = np.concatenate([self.lossy, [int(x[-1]) for x in borne]])
+            while len(self.keys) > self.depth or self.size.sum() > self.most:
                 yield self._step()
 
     def finish(self) -> Iterator[tuple]:
@@ -176,8 +183,8 @@ def pack(
 
 def _table(pieces: Iterator[tuple], with_ids: bool) -> Iterator[pa.RecordBatch]:
     rows = [
-        (key, begin, len(x), whole, sequence, offset, int(loss.sum()), zlib.crc32(raw := x.tobytes()), raw if with_ids else None)
-        for key, begin, x, loss, whole, sequence, offset in pieces
+        (key, begin, len(x), whole, sequence, offset, borne, zlib.crc32(raw := x.tobytes()), raw if with_ids else None)
+        for key, begin, x, borne, whole, sequence, offset in pieces
     ]
     if rows:
         kinds = [pa.int64()] * 8 + [pa.binary()]

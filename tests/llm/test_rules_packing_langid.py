@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,6 +149,29 @@ def test_packing_limits_and_prompts(spark):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_packing_is_linear_in_the_length_of_a_text():
+    seconds = []
+    for millions in (1, 8):
+        ids, loss = np.arange(millions * 1_000_000, dtype="<u4"), np.ones(millions * 1_000_000, np.bool_)
+        loss[::3] = False
+        packer, begin = packing.Packer(packing.Limits(loss_tokens=2000), 0), time.perf_counter()
+        pieces = [*packer.add([1], [ids], [loss]), *packer.finish()]
+        seconds.append(time.perf_counter() - begin)
+        assert np.array_equal(np.concatenate([p[2] for p in pieces]), ids)
+        assert all(p[3] == loss[p[1] : p[1] + len(p[2])].sum() <= 2000 for p in pieces)
+    assert seconds[1] < 2
+
+
+def test_waiting_texts_are_bounded_by_tokens():
+    packer, held = packing.Packer(packing.Limits(), 0, pool_tokens=50_000), []
+    for i in range(300):
+        ids = np.full(9_000, i, "<u4")
+        for _ in packer.add([i], [ids], [np.ones(9_000, np.bool_)]):
+            held.append(sum(map(len, packer.ids)))
+    assert max(held) <= 2 * 59_000 and packer.size.sum() <= 50_000
+    assert sum(len(p[2]) for p in packer.finish()) < 60_000
+
+
 def test_language_of_held_out_texts(documents, empty):
     held_out = langid.id_fold(3) == F.lit(1)
     model = langid.train(documents, ~held_out)
