@@ -4,8 +4,9 @@ Training counts the n-gram buckets of each language in every task and adds the c
 the model is a languages x buckets matrix of log probabilities, whose size does not follow
 the number of documents. Scoring broadcasts it and adds up whole slices of texts at once.
 
-Texts are UTF-8 bytes with A-Z lowered. An n-gram is a run of 1 to 3 bytes, or 4 bytes
-for four; runs of other white space count as one kind of byte.
+Texts are code points, lower-cased by Unicode; tab to carriage return count as spaces. An
+n-gram is a run of 1 to 4 code points inside one text. Long texts are worked on in blocks, so
+memory does not follow the length of a text.
 
 Defined results: null text, or text without a letter, is `und` with score 0. Without any
 labelled text every text is `und`. Of equal scores the smaller language name wins. Null
@@ -23,38 +24,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import LETTER, Slice, slices
+from .words import LETTER, Slice, mix, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
-
-
-def _features(part: Slice, buckets: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(bucket of the n-gram that starts at each byte, n); the last n-1 bytes have none."""
-    x = _LOWER[part.data]
-    gram = np.zeros(len(x), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        gram = gram[: len(x) - n + 1] * np.uint32(256) + x[n - 1 :]  # the last four bytes
-        if n in ORDERS:
-            h = (gram + np.uint32(n)) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x85EBCA77)
-            yield (h >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.intp), n
-
-
-def _inside(part: Slice, n: int) -> np.ndarray:
-    """False where an n-gram would run over the end of its text."""
-    ok = np.ones(max(0, len(part.data) - n + 1), np.bool_)
-    for back in range(1, n):
-        at = part.offsets[1:-1] - back
-        ok[at[(at >= 0) & (at < len(ok))]] = False
-    return ok
+# Code points that are worked on at once.
+_BLOCK = 1 << 20
+_PRIME = np.uint64(0x100000001B3)
+
+def _code_points(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-cased code points of all texts, where each begins and the last ends)."""
+    texts = [str(part.text(i), "utf-8", "replace").lower().encode("utf-32-le", "surrogatepass") for i in range(len(part))]
+    codes = np.frombuffer(b"".join(texts), "<u4")
+    codes = np.where((codes >= 9) & (codes <= 13), np.uint32(32), codes)
+    return codes, np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])]).astype(np.int64)
+
+
+def _features(part: Slice, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of every n-gram, block by block and order by order."""
+    codes, bounds = _code_points(part)
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+    for low in range(0, len(codes), _BLOCK):
+        high = min(low + _BLOCK, len(codes))
+        owner = np.repeat(np.arange(len(part)), np.diff(np.clip(bounds, low, high)))
+        left = bounds[owner + 1] - np.arange(low, high)  # code points to the end of the text
+        gram = np.zeros(high - low, np.uint64)
+        for n in range(1, max(ORDERS) + 1):
+            ahead = np.zeros(high - low, np.uint64)
+            own = codes[low + n - 1 : high + n - 1]
+            ahead[: len(own)] = own
+            gram = mix(gram * _PRIME + ahead + np.uint64(n))
+            if n in ORDERS:
+                ok = left >= n
+                yield (gram[ok] >> shift).astype(np.intp), owner[ok]
 
 
 @dataclass
@@ -66,13 +71,9 @@ class Model:
     def predict(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """(best language, its posterior) of each text."""
         total = np.zeros((len(part), len(self.languages)))
-        for bucket, n in _features(part, len(self.log_prob)):
-            ok = _inside(part, n)
+        for bucket, owner in _features(part, len(self.log_prob)):
             for k in range(len(self.languages)):
-                value = np.zeros(len(ok) + 1)
-                np.cumsum(np.where(ok, self.log_prob[:, k][bucket], 0.0), out=value[1:])
-                bounds = np.minimum(part.offsets, len(ok))
-                total[:, k] += value[bounds[1:]] - value[bounds[:-1]]
+                total[:, k] += np.bincount(owner, weights=self.log_prob[:, k][bucket], minlength=len(part))
         total += self.log_prior
         best = total.argmax(axis=1)
         share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -91,11 +92,9 @@ def train(docs: DataFrame, labelled: Column, buckets: int = BUCKETS) -> Model:
             for part in slices(batch.column(0)):
                 own = langs[part.low : part.low + len(part)]
                 names, code = np.unique(own.astype(str), return_inverse=True)
-                of_byte = np.repeat(code * buckets, np.diff(part.offsets))
                 total = np.zeros(len(names) * buckets, np.int64)
-                for bucket, n in _features(part, buckets):
-                    ok = _inside(part, n)
-                    total += np.bincount((of_byte[: len(ok)] + bucket)[ok], minlength=len(total))
+                for bucket, owner in _features(part, buckets):
+                    total += np.bincount(code[owner] * buckets + bucket, minlength=len(total))
                 for i, name in enumerate(names.tolist()):
                     seen[name] = seen.get(name, 0) + total[i * buckets : (i + 1) * buckets]
                     texts[name] = texts.get(name, 0) + int((code == i).sum())

@@ -197,3 +197,39 @@ def test_language_scores_match_direct_sums(documents):
         alone = next(slices(pa.array([text])))
         b, s = model.predict(alone)
         assert b[0] == best[i] and abs(s[0] - share[i]) < 1e-9
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    """Russian and Ukrainian, Hindi and Marathi: the letters are shared, the runs of them are not."""
+    words = {
+        "ru": "и что это как его но они был только она мы вы если когда большой город человек время который сказал только первый".split(),
+        "uk": "і що це як його але вони був тільки вона ми ви якщо коли велике місто людина час який сказав лише перший".split(),
+        "hi": "और यह वह नहीं है था के लिए में से को कर रहा हूँ बड़ा शहर आदमी समय जो कहा केवल पहला".split(),
+        "mr": "आणि हा तो नाही आहे होता साठी मध्ये पासून ला करत आहे मोठे शहर माणूस वेळ जो म्हणाला फक्त पहिला".split(),
+    }
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(800):
+        lang = list(words)[i % 4]
+        text = " ".join(words[lang][j] for j in rng.integers(0, len(words[lang]), 8))
+        rows.append((i, text.upper() if i % 5 == 0 else text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({n: F.lit("x") for n in ("held_out", "lang_pred", "score", "bucket")})
+    held_out = langid.id_fold(3) == F.lit(1)
+    found = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs, ~held_out), held_out).where("held_out").collect()}
+    assert len(found) > 200 and np.mean([found[i]["lang_pred"] == lang for i, _, lang in rows if i in found]) >= 0.98
+
+
+def test_language_ties_and_long_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abc abc", "zz"), (2, "abc abc", "aa"), (3, "abc", None)], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(docs, model, F.lit(False)).collect()} == {("aa", 0.5)}
+    from cohortloom.llm.words import slices
+    import pyarrow as pa
+
+    part = next(slices(pa.array(["ÉTÉ à la plage, \U0001f642 СЛОВО " * 300, "", "été"])))
+    whole = [np.concatenate(x) for x in zip(*langid._features(part, 1 << 12), strict=True)]
+    monkeypatch.setattr(langid, "_BLOCK", 7)
+    blocks = [np.concatenate(x) for x in zip(*langid._features(part, 1 << 12), strict=True)]
+    assert Counter(zip(*map(np.ndarray.tolist, whole), strict=True)) == Counter(zip(*map(np.ndarray.tolist, blocks), strict=True))
+    text = str(part.text(0), "utf-8").lower()
+    assert (whole[1] == 0).sum() == sum(len(text) - n + 1 for n in langid.ORDERS)
