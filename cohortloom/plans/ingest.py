@@ -164,7 +164,7 @@ def run_ingestion(
     tables = [
         _row_table(c).withColumn("_adapter", F.lit(name)) for name, (_, c) in compiled_by_adapter.items()
     ]
-    store.append("rows", union_by_name(tables).withColumn("run_id", F.lit(run.run_id)), "run_id", "kept")
+    store.append_run("rows", union_by_name(tables), run.run_id, "kept")
 
     written = ws.spark.read.parquet(f"{store.path('rows')}/run_id={run.run_id}")
     sources, metrics = [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import survival
+from ..models import survival, wide
 from .base import query, table
 from .modelling import _survival_input, _two_sided
 
@@ -102,3 +102,27 @@ def _(spark, sf):
 def _(spark, sf):
     line = survival.regression_line(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
     return line.withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 2), "r_squared": F.round("r_squared", 6)})
+
+
+# Every part a level: one coefficient each, the log odds of a part less those of the first one.
+_PARTS = (
+    "(select 'part ' || l_partkey as part, sum(cast(l_returnflag = 'R' as integer)) as e, sum(cast(l_returnflag <> 'R' as integer)) as o "
+    "from lineitem group by l_partkey having e > 0 and o > 0)"
+)
+
+
+@query(
+    "wide_logistic_terms",
+    f"with p as materialized (select *, ln(e / o) as b, 1.0 / e + 1.0 / o as v from {_PARTS}), f as (select part, b, v from p order by part limit 1) "
+    "select 'part: ' || p.part as term, f.part as reference_level, round(p.b - f.b, 3) as coefficient, round(sqrt(p.v + f.v), 3) as standard_error "
+    "from p, f where p.part <> f.part",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("part "), "l_partkey").alias("part"), F.expr("l_returnflag = 'R'").alias("returned"))
+    mixed = lines.groupBy("part").agg(F.min("returned").alias("low"), F.max("returned").alias("high")).where("low <> high")
+    model = wide.fit_wide(lines.join(mixed.select("part"), "part"), "returned", ["part"])
+    rows = model.levels.select(
+        F.concat(F.lit("part: "), "level").alias("term"), F.lit(model.references[0]).alias("reference_level"),
+        F.round("b", 3).alias("coefficient"), F.round("error", 3).alias("standard_error"),
+    )
+    return rows

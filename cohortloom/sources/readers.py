@@ -100,9 +100,9 @@ def file_facts(spark: SparkSession, paths: list[str]) -> dict[str, FileFacts]:
 
 def read_csv_set(
     spark: SparkSession, paths: list[str], delimiter: str | None = ",", encoding: str | None = "UTF-8",
-    trim_names: bool = False,
+    trim_names: bool = False, with_path: str | None = None,
 ) -> DataFrame:
-    """Union of CSV files by column name, every cell as text, plus the file name.
+    """Union of CSV files by column name, every cell as text, plus the file name (and path).
 
     Files that share a layout are one scan, which Spark may split unless some cell holds a
     line break. ``delimiter=None`` sniffs it from the first lines; ``encoding=None`` tries
@@ -124,7 +124,8 @@ def read_csv_set(
             .options(header=True, sep=sep, encoding=coding, multiLine=broken, escape='"', enforceSchema=True)
             .csv(members)
         )
-        frames.append(frame.select("*", F.url_decode(F.col("_metadata.file_name")).alias(FILE_NAME)))
+        path = [F.col("_metadata.file_path").alias(with_path)] if with_path else []
+        frames.append(frame.select("*", F.url_decode(F.col("_metadata.file_name")).alias(FILE_NAME), *path))
     return union_by_name(frames)
 
 
@@ -140,9 +141,14 @@ def read_generic_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) rows of a JSON object file."""
-    text = spark.read.text(path, wholetext=True)
+    """(key, value) rows of a JSON mapping: one object per line, or one object over many lines.
+
+    Lines are parsed where they are split to; only a file whose first line is no whole object
+    is read as one text."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
     pairs = F.from_json("value", "map<string,string>")
+    first = lines.select(pairs.isNotNull().alias("whole")).first()
+    text = lines if first is None or first["whole"] else spark.read.text(path, wholetext=True)
     return text.select(F.explode(pairs).alias("key", "value"))
 
 
@@ -192,18 +198,22 @@ MARKER_COLUMNS = ("k_number", "marker", "value", "notes")
 
 def read_marker_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """(marker rows, rejected files): one CSV per report, entity key in its name."""
+    keyed = read_marker_rows(spark, paths)
+    rejects = keyed.filter("k_number is null").select("file_name").distinct()
+    rows = keyed.filter("k_number is not null").select(*MARKER_COLUMNS)
+    return rows, rejects.withColumn("reason", F.lit("No entity key in the file name."))
+
+
+def read_marker_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(k_number, marker, value, notes, file_name) of marker CSVs; no key in the name is null."""
     frame = read_csv_set(spark, paths, trim_names=True)
     if "notes" not in frame.columns:
         frame = frame.withColumn("notes", F.lit(""))
     missing = sorted({"marker", "value"} - set(frame.columns))
     if missing:
         raise ValueError(f"Marker files are missing required columns: {', '.join(missing)}")
-    keyed = frame.withColumn("k_number", entity_key(F.col(FILE_NAME)))
-    rows = keyed.filter("k_number is not null").select(
-        "k_number", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("marker", "value", "notes")]
-    )
-    rejects = keyed.filter("k_number is null").select(F.col(FILE_NAME).alias("file_name")).distinct()
-    return rows, rejects.withColumn("reason", F.lit("No entity key in the file name."))
+    cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in MARKER_COLUMNS[1:]]
+    return frame.select(entity_key(F.col(FILE_NAME)).alias("k_number"), *cells, F.col(FILE_NAME).alias("file_name"))
 
 
 def read_text_reports(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -35,6 +35,8 @@ class RunContext:
         return cls(f"{current:%Y%m%d_%H%M%S}_{suffix}", current.isoformat(timespec="seconds"))
 
 
+_WRITE = "write_id"  # partition column of the folders that single writes made
+
 RUN_SCHEMA = (
     "run_id string, run_datetime string, pipeline_version string, canonical_schema_version string, "
     "total_rows bigint, notes string"
@@ -77,11 +79,28 @@ class Store:
                 raise FileNotFoundError(f"No {name} table has been written.")
             return self.spark.createDataFrame([], schema)
         # Runs may differ in extra columns; the union of them is the table.
-        return self.spark.read.option("mergeSchema", True).parquet(self.path(name))
+        return self.spark.read.option("mergeSchema", True).parquet(self.path(name)).drop(_WRITE)
+
+    def committed(self, name: str) -> DataFrame:
+        """Rows of finished runs. A run's row in `runs` is written last; without it the run broke
+        off or is still going on."""
+        return self.table(name).join(self.table("runs", RUN_SCHEMA).select("run_id").distinct(), "run_id", "left_semi")
 
     def append(self, name: str, df: DataFrame, *partitions: str) -> None:
-        writer = df.write.mode("append")
-        (writer.partitionBy(*partitions) if partitions else writer).parquet(self.path(name))
+        """Add rows in a folder of this write alone: a commit cleans its folder's unfinished files,
+        which must not be those of another writer."""
+        writer = df.write.mode("errorifexists")
+        path = f"{self.path(name)}/{_WRITE}={uuid.uuid4().hex}"
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+    def append_run(self, name: str, df: DataFrame, run_id: str, *partitions: str) -> None:
+        """Rows of one run in a folder of its own, so writers at the same time never share one."""
+        writer = df.drop("run_id").write.mode("errorifexists")
+        (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{self.path(name)}/run_id={run_id}")
+
+    def run_table(self, name: str, run_id: str) -> DataFrame:
+        """Rows that one run wrote."""
+        return self.spark.read.parquet(f"{self.path(name)}/run_id={run_id}")
 
     def append_rows(self, name: str, rows: list[tuple], schema: str) -> None:
         """Manifest-sized rows (steps, specs, artifacts) from the driver."""
@@ -103,6 +122,8 @@ class Store:
             if latest is None:
                 raise FileNotFoundError("No clean dataset found. Run ingestion first.")
             run_id = latest["run_id"]
+        elif not self.exists("runs") or not self.table("runs").where(F.col("run_id") == run_id).take(1):
+            raise FileNotFoundError(f"Run {run_id} has not been committed.")
         folder = f"{self.path('rows')}/run_id={run_id}/kept=true"
         rows = self.spark.read.parquet(folder)
         extra = [c for c in rows.columns if c in ROW_EXTRAS or c.startswith("_m_")]
