@@ -17,7 +17,7 @@ from ..operators.structure import union_by_name
 from ..operators.summaries import run_summary
 from ..sources import adapters
 from ..sources.readers import FILE_NAME, inside, list_files, read_data_file, read_mapping
-from ..sources.store import RUN_SCHEMA, SPEC_SCHEMA, STEP_SCHEMA, RunContext, Store
+from ..sources.store import RUN_SCHEMA, SPEC_SCHEMA, STEP_SCHEMA, RunContext, Store, quality_report_of
 from .registry_functions import FunctionRegistry, default_registry
 from .spec import DROPPED, CompiledSpec, Environment, compile_spec, quality_report
 
@@ -129,7 +129,7 @@ def _step_facts(compiled: CompiledSpec) -> list[dict[str, Any]]:
     ]
 
 
-def _row_table(compiled: CompiledSpec) -> DataFrame:
+def row_table(compiled: CompiledSpec) -> DataFrame:
     """Every row as it is stored: published columns, report columns, drop mark."""
     traced = compiled.traced
     details = unique_details().alias(DETAILS)
@@ -162,7 +162,7 @@ def run_ingestion(
         raise FileNotFoundError("No source files were found for the selected ingestion adapters")
 
     tables = [
-        _row_table(c).withColumn("_adapter", F.lit(name)) for name, (_, c) in compiled_by_adapter.items()
+        row_table(c).withColumn("_adapter", F.lit(name)) for name, (_, c) in compiled_by_adapter.items()
     ]
     store.append_run("rows", union_by_name(tables), run.run_id, "kept")
 
@@ -289,6 +289,6 @@ def step_summary(operation: str, metrics: dict[str, Any]) -> str:
 
 
 __all__ = [
-    "Preview", "Workspace", "active_spec", "compile_source", "default_spec", "preview", "quality_report",
-    "run_and_save", "run_ingestion",
+    "Preview", "Workspace", "active_spec", "compile_source", "default_spec", "preview", "quality_report", "quality_report_of",
+    "row_table", "run_and_save", "run_ingestion",
 ]

@@ -55,8 +55,8 @@ def catalogue(spark: SparkSession, globs: Mapping[str, Sequence[str]], latest: S
     hashes = hash_files(spark, paths).select(_same_spelling("path").alias("_at"), "sha256")
     files = listed.withColumn("_at", _same_spelling("path")).join(hashes, "_at", "left").withColumn("is_latest", F.col("path").isin(*latest) if latest else F.lit(False))
     if not paths:
-        empty = spark.createDataFrame([], "column_name string, distinct_values bigint, values array<string>, rows bigint")
-        return files.drop("_at").crossJoin(empty).select(*_CATALOGUE)
+        kinds = {"column_name": "string", "distinct_values": "bigint", "values": "array<string>", "rows": "bigint"}
+        return files.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items()}).select(*_CATALOGUE)
     frame = read_csv_set(spark, paths, delimiter=None, encoding=None, with_path="_path")
     frame = frame.withColumn("_path", _same_spelling("_path")).drop(FILE_NAME)
     found = data_file_catalogue(frame, "_path", *([limit] if limit else []))

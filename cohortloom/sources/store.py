@@ -57,6 +57,17 @@ ARTIFACT_SCHEMA = (
 )
 
 
+def quality_report_of(rows: DataFrame) -> DataFrame:
+    """(patient_id, source_file, flags, flag_details) of stored kept rows."""
+    patient = F.col("patient_id") if "patient_id" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        patient.cast("string").alias("patient_id"),
+        F.col("_source_file").alias("source_file"),
+        F.col("data_quality_flags").alias("flags"),
+        F.col("_flag_details").alias("flag_details"),
+    )
+
+
 @dataclass(frozen=True)
 class Store:
     """Tables of one workspace under a root folder on any shared file system."""
@@ -132,13 +143,7 @@ class Store:
     def quality_report(self, run_id: str) -> DataFrame:
         folder = f"{self.path('rows')}/run_id={run_id}/kept=true"
         rows = self.spark.read.option("mergeSchema", True).parquet(folder)
-        patient = F.col("patient_id") if "patient_id" in rows.columns else F.lit(None).cast("string")
-        return rows.select(
-            patient.cast("string").alias("patient_id"),
-            F.col("_source_file").alias("source_file"),
-            F.col("data_quality_flags").alias("flags"),
-            F.col("_flag_details").alias("flag_details"),
-        )
+        return quality_report_of(rows)
 
     # ------------------------------------------------------------------ specs
 
