@@ -45,6 +45,7 @@ class LassoResult:
     lambda_1se: float | None
     bic: np.ndarray
     path_coefficients: np.ndarray
+    scaling: _Scaling | None = None
     warnings: list[str] = field(default_factory=list)
 
 
@@ -231,10 +232,26 @@ def fit_lasso(frame: ModelFrame, row_keys: list[str]) -> LassoResult:
         folds=folds, fallback_reason=reason, penalties=path, mean_loss=mean, se_loss=se,
         lambda_min=float(path[lowest]) if folds else None,
         lambda_1se=float(path[chosen]) if folds else None,
-        bic=bic, path_coefficients=beta[full],
+        bic=bic, path_coefficients=beta[full], scaling=scalings[whole],
     )
 
 
+def optimality_gaps(result: LassoResult) -> np.ndarray:
+    """How far each penalty's coefficients are from the optimality conditions, in one scan.
+
+    The mean slope of the likelihood along a standardized term has to be the penalty, with the
+    coefficient's sign, where that is not zero; at most the penalty where it is; and zero along
+    the intercept. The objective is convex, so the conditions hold at its minimum alone.
+    """
+    beta, t = result.path_coefficients, result.scaling.matrix
+    raw, models = beta @ t, np.arange(len(beta))
+    sums = newton_sums(result.cells, raw, models, OutsideFold((-1,) * len(beta)), second_order=False)
+    slope = (sums.gradient @ t.T) / sums.weight[:, None]
+    penalty = result.penalties[:, None]
+    inner = np.where(beta[:, 1:] != 0, np.abs(slope[:, 1:] - penalty * np.sign(beta[:, 1:])), np.maximum(np.abs(slope[:, 1:]) - penalty, 0.0))
+    return np.maximum(np.abs(slope[:, 0]), inner.max(axis=1))
+
+
 LASSO_SCHEMA = (
     "term string, predictor string, kind string, reference_level string, coefficient double, "
     "standardized_coefficient double, abs_standardized_coefficient double, odds_ratio double, "

@@ -375,14 +375,16 @@ def _lasso_frame(spark, sf):
 _LEVELS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query(
-    "lasso_penalties",
+_PENALTIES = (
     "with r as (select case o_orderstatus when 'F' then 1.0 else 0.0 end as y, o_totalprice / 1000 as x1, cast(month(o_orderdate) as double) as x2, "
     + ", ".join(f"cast(o_orderpriority = '{v}' as integer) as x{i + 3}" for i, v in enumerate(_LEVELS))
     + " from orders where o_orderstatus in ('F', 'O')), m as (select greatest("
     + ", ".join(f"abs(covar_pop(x{i}, y)) / stddev_pop(x{i})" for i in range(1, 7))
-    + ") as top from r) select i as position, round(top * pow(greatest(0.02, 1e-5 / top), i / 29.0), 8) as penalty from m, range(0, 30) t(i)",
+    + ") as top from r) select i as position, round(top * pow(greatest(0.02, 1e-5 / top), i / 29.0), 8) as penalty from m, range(0, 30) t(i)"
 )
+
+
+@query("lasso_penalties", _PENALTIES)
 def _(spark, sf):
     result = lasso.fit_lasso(_lasso_frame(spark, sf), ["o_orderkey"])
     result.cells.unpersist()
@@ -391,6 +393,17 @@ def _(spark, sf):
     )
 
 
+@query("lasso_optimality", f"select *, true as optimal from ({_PENALTIES})")
+def _(spark, sf):
+    """Whether the coefficients of each penalty meet the conditions of the one minimum."""
+    result = lasso.fit_lasso(_lasso_frame(spark, sf), ["o_orderkey"])
+    gaps = lasso.optimality_gaps(result)
+    result.cells.unpersist()
+    return spark.createDataFrame(
+        [(i, round(float(p), 8), bool(g < 1e-6)) for i, (p, g) in enumerate(zip(result.penalties, gaps, strict=True))], "position bigint, penalty double, optimal boolean"
+    )
+
+
 @query("lasso_terms")
 def _(spark, sf):
     result = lasso.fit_lasso(_lasso_frame(spark, sf), ["o_orderkey"])

@@ -63,6 +63,10 @@ def test_logistic_coefficients_errors_and_score_equations(twenty):
 def test_lasso_path_optimality_and_selection(twenty):
     frame = frames.build_model_frame(twenty, "recurrence", ["nlr", "age", "sex"], ["id"])
     fit = lasso.fit_lasso(frame, ["id"])
+    gaps = lasso.optimality_gaps(fit)
+    fit.path_coefficients[10] += 1e-3
+    assert gaps.max() < 1e-6 and lasso.optimality_gaps(fit)[10] > 1e-5
+    fit.path_coefficients[10] -= 1e-3
     fit.cells.unpersist()
     assert fit.penalties[0] == pytest.approx(0.269029, abs=1e-6) and len(fit.penalties) == 30
     assert fit.penalties[-1] == pytest.approx(0.02 * fit.penalties[0])
