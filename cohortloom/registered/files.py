@@ -148,6 +148,48 @@ def _named_file(df: DataFrame, folder: str, name: str, header: bool = True) -> N
     system.rename(written, hadoop.Path(f"{folder}/{name}"))
 
 
+@query("ingest_preview", "select count(*) as source_rows, count(*) as clean_rows, least(count(*), 10) as shown, count(*) as rows_raw, 0 as rows_stub from customer")
+def _(spark, sf):
+    """A spec applied without writing: whole counts, and the first rows."""
+    ws = ingest.Workspace.at(spark, _folder(spark))
+    _named_file(_customers(spark, sf), f"{ws.root}/data/raw/imports", "a.csv")
+    found = ingest.preview(ws, "generic_csv")
+    counts = spark.createDataFrame([(found.source_profile.rows, found.transformed_profile.rows, found.rows.count())], "source_rows bigint, clean_rows bigint, shown bigint")
+    own = found.summary.select(*[F.col(c).cast("bigint").alias(c) for c in ("rows_raw", "rows_stub")]).collect()
+    return counts.withColumns({"rows_raw": F.lit(own[0]["rows_raw"]), "rows_stub": F.lit(own[0]["rows_stub"])})
+
+
+@query(
+    "artifacts_by_latest",
+    "select 'script_' || n_regionkey as script_id, lpad(cast(max(n_nationkey) as varchar), 3, '0') as run_id, "
+    "'script_' || n_regionkey || '_' || lpad(cast(max(n_nationkey) as varchar), 3, '0') || '.json' as file_name, max(n_nationkey) as value from nation group by n_regionkey",
+)
+def _(spark, sf):
+    """An artifact per nation, of one script per region: the newest run of each script counts."""
+    kept = ingest.Workspace.at(spark, _folder(spark)).store
+    for row in table(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows at every scale
+        run = f"{row['n_nationkey']:03d}"
+        kept.save_artifact(
+            {
+                "script_id": f"script_{row['n_regionkey']}", "run_id": run, "manifest_run_id": run, "run_datetime": f"2024-01-01T00:00:{int(run):02d}",
+                "title": row["n_name"], "description": "", "category": "test", "priority": 1, "data": {"value": row["n_nationkey"]},
+            }
+        )
+    value = F.get_json_object("data", "$.value").cast("int").alias("value")
+    return kept.latest_artifacts().select("script_id", "run_id", "file_name", value)
+
+
+@query("saved_specs", "select 'generic_csv' as adapter_id, max(r_regionkey) as version, count(*) as saved from region")
+def _(spark, sf):
+    """The newest saved spec is the adapter's default; the earlier ones stay in the table."""
+    ws = ingest.Workspace.at(spark, _folder(spark))
+    for row in table(spark, sf, "region").orderBy("r_regionkey").collect():  # 5 rows at every scale
+        ws.store.save_spec("generic_csv", {"spec_id": "s", "version": row["r_regionkey"], "steps": []})
+    spec, origin = ingest.default_spec(ws, "generic_csv")
+    saved = ws.store.table("saved_specs").count() if origin == "saved" else 0
+    return spark.createDataFrame([(spec["adapter_id"], spec["version"], saved)], "adapter_id string, version int, saved bigint")
+
+
 # ---------------------------------------------------------------- histology
 
 _NATIONS = "(select n_nationkey as k, n_name, n_regionkey from nation)"
