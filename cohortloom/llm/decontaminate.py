@@ -1,17 +1,21 @@
 """Benchmark decontamination with SimHash over windows of the items' own sizes.
 
 For every item length there is a window at each place of a document. Windows get a 64-bit
-SimHash of their words and word pairs; a multi-index over four 16-bit blocks holds every
-value within 3 bits of an item's block, so that each fingerprint within RADIUS (15) bits of
-an item is found: 15 differing bits leave some block with at most 3. Candidates are then
-verified by the exact similarity of their word shingles weighted by how often they occur
-(twice the shared weight over the sum of both weights).
+SimHash of their words and word pairs. For each length a multi-index by four 16-bit blocks
+joins windows and items: the shorter list looks up all values within 4 bits of its own
+blocks in the index of the longer one, so that each pair within RADIUS (19) bits is found:
+19 differing bits leave some block with at most 4.
+Candidates are then verified by the exact similarity of their word shingles weighted by how
+often they occur (twice the shared weight over the sum of both weights).
 
 A window can only reach the similarity if enough of its shingles occur in some item at all;
 windows that fail this count are not fingerprinted, which loses no verified match.
 
 The benchmark is the query set: it is read in blocks of ITEM_BLOCK items, and a block's
-index (about 11 kB per item) is what tasks receive. Documents are never shuffled.
+index (shingles and a fingerprint an item, under 1 kB for a hundred words) is what tasks
+receive; a block is one pass. Documents are never shuffled. Windows of one length are worked
+on at a time and fingerprinted in stretches, so memory follows a slice of text and the
+longest item, not the number of lengths.
 
 Defined results: null, empty and wordless texts or items match nothing. Items under five
 words are one shingle. Repeated items or documents are matched one by one; null ids stay
@@ -21,6 +25,7 @@ null. Words are split at ASCII white space and compared with A-Z lowered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -32,13 +37,16 @@ from .words import Slice, mix, ragged, slices, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 15
-BLOCKS, BLOCK_BITS, NEAR = 4, 16, 3  # RADIUS // BLOCKS == NEAR
-ITEM_BLOCK = 1000
+RADIUS = 19
+BLOCKS, BLOCK_BITS, NEAR = 4, 16, 4  # RADIUS // BLOCKS == NEAR
+ITEM_BLOCK = 50_000
+STRETCH = 4096  # windows, and words between their beginnings, fingerprinted at once
+LOOKUPS = 256  # fingerprints looked up at once
 _SCREEN_BITS = 22
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
 
+@cache
 def _near_masks() -> np.ndarray:
     """Every 16-bit word with at most NEAR bits set."""
     return np.array([sum(1 << b for b in bits) for n in range(NEAR + 1) for bits in combinations(range(BLOCK_BITS), n)], np.int64)
@@ -53,11 +61,18 @@ def _votes(features: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """SimHash of the windows (at, length) over word hashes."""
-    single = _votes(mix(words))
-    pair = _votes(mix(words[:-1] * _PAIR + words[1:])) if len(words) > 1 else np.zeros((1, 64), np.int32)
-    total = single[at + length] - single[at] + pair[at + length - 1] - pair[at]
-    return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    """SimHash of the windows (at, length) over word hashes; `at` ascends."""
+    out = np.empty(len(at), np.uint64)
+    low = 0
+    while low < len(at):
+        high = min(low + STRETCH, int(np.searchsorted(at, at[low] + STRETCH)))
+        begin, size = at[low:high] - at[low], length[low:high]
+        inside = words[at[low] : at[low] + (begin + size).max()]
+        single, pair = _votes(mix(inside)), _votes(mix(inside[:-1] * _PAIR + inside[1:]))
+        total = single[begin + size] - single[begin] + pair[begin + size - 1] - pair[begin]
+        out[low:high] = np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+        low = high
+    return out
 
 
 def _shingles(words: np.ndarray, at: int, length: int) -> np.ndarray:
@@ -73,6 +88,32 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return 2.0 * float(np.minimum(n[i], m[j]).sum()) / (len(a) + len(b))
 
 
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def near_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in one, place in two) of all fingerprints within RADIUS bits."""
+    if len(one) > len(two):
+        j, i = near_pairs(two, one)
+        return i, j
+    masks, found = _near_masks(), [np.empty(0, np.int64)]
+    for b in range(BLOCKS):
+        index = _block(two, b)
+        order = np.argsort(index, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=1 << BLOCK_BITS))])
+        for low in range(0, len(one), LOOKUPS):
+            value = (_block(one[low : low + LOOKUPS], b)[:, None] ^ masks).ravel()
+            size = begin[value + 1] - begin[value]
+            hit = np.flatnonzero(size)
+            i = np.repeat(hit // len(masks) + low, size[hit])
+            j = order[ragged(begin[value[hit]], size[hit])]
+            near = np.bitwise_count(one[i] ^ two[j]) <= RADIUS
+            found.append(i[near] * len(two) + j[near])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // max(1, len(two)), pairs % max(1, len(two))
+
+
 class ItemIndex:
     """A block of items: fingerprints by block value, shingles, and the screen."""
 
@@ -92,14 +133,7 @@ class ItemIndex:
                 prints.append(fingerprints(words, np.array([0]), np.array([len(words)]))[0])
         self.length = np.array(lengths, np.int64)
         self.print = np.array(prints, np.uint64)
-        masks = _near_masks()
-        self.begin, self.item = [], []
-        for b in range(BLOCKS):
-            value = ((self.print >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
-            keys = (value[:, None] ^ masks).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.begin.append(np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)))
-            self.item.append(order // len(masks))
+        self.of_length = {n: np.flatnonzero(self.length == n) for n in set(lengths)}
         #: By shingle size: the lengths that have it, and their shingles.
         self.sizes: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
         for size in sorted({min(SHINGLE, n) for n in lengths}):
@@ -109,73 +143,51 @@ class ItemIndex:
             screen[known >> np.uint64(64 - _SCREEN_BITS)] = True
             self.sizes[size] = (sorted({n for n in lengths if min(SHINGLE, n) == size}), known, screen)
 
-    def _windows(self, part: Slice, words: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, length) of item-sized windows in which enough shingles are known."""
-        ats, lengths = [], []
+    def _windows(self, part: Slice, words: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, int]]:
+        """For each length of an item, where windows begin in which enough shingles are known."""
         for size, (own, known, screen) in self.sizes.items():
             at, keys = part.windows(words, size)
             maybe = np.flatnonzero(screen[keys >> np.uint64(64 - _SCREEN_BITS)])
             hits = at[maybe[np.isin(keys[maybe], known)]]
             if not len(hits):
                 continue
-            count = np.zeros(len(words) + 1, np.int64)
+            count = np.zeros(len(words) + 1, np.int32)
             count[hits + 1] = 1
-            count = np.cumsum(count)
+            count = np.cumsum(count, dtype=np.int32)
             text = np.searchsorted(part.first, hits, "right") - 1
+            first, last = part.first[text], part.first[text + 1]
+            after = np.concatenate([[0], hits[:-1] + 1])
             for n in own:
-                # A window holds n - size + 1 shingles and must begin at or before a known one.
+                # A window holds n - size + 1 shingles; it begins at or before one that is known.
                 back = n - size
-                near = np.unique((hits[:, None] - np.arange(back + 1)).ravel()) if back < 64 else None
-                if near is None:
-                    low = np.maximum(hits - back, part.first[text])
-                    near = np.unique(ragged(low, hits - low + 1))
-                near = near[near >= 0]
-                owner = np.searchsorted(part.first, near, "right") - 1
-                near = near[near + n <= part.first[owner + 1]]
-                enough = count[near + back + 1] - count[near] >= least * (back + 1)
-                ats.append(near[enough])
-                lengths.append(np.full(int(enough.sum()), n))
-        if not ats:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(ats), np.concatenate(lengths)
-
-    def _candidates(self, prints: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs of one length within RADIUS."""
-        found = []
-        for b in range(BLOCKS):
-            value = ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
-            size = self.begin[b][value + 1] - self.begin[b][value]
-            window = np.repeat(np.arange(len(prints)), size)
-            item = self.item[b][ragged(self.begin[b][value], size)]
-            same = self.length[item] == lengths[window]
-            found.append(window[same] * len(self.ids) + item[same])
-        pairs = np.unique(np.concatenate(found))
-        window, item = pairs // len(self.ids), pairs % len(self.ids)
-        distance = np.bitwise_count(prints[window] ^ self.print[item]).astype(np.int64)
-        near = distance <= RADIUS
-        return window[near], item[near], distance[near]
+                low = np.maximum(np.maximum(hits - back, after), first)
+                high = np.minimum(hits, last - n)
+                some = low <= high
+                near = ragged(low[some], (high - low)[some] + 1)
+                near = near[count[near + back + 1] - count[near] >= least * (back + 1)]
+                if len(near):
+                    yield near, n
 
     def matches(self, part: Slice, least: float) -> Iterator[tuple]:
         """(text, item id, first word, words, similarity, distance): the best window per item."""
         if not self.ids:
             return
         words = part.hashes(lower=True)
-        at, length = self._windows(part, words, least)
-        if not len(at):
-            return
-        owners = np.searchsorted(part.first, at, "right") - 1
         best: dict[tuple[int, int], tuple] = {}
-        for text in np.unique(owners).tolist():
-            own = np.flatnonzero(owners == text)
-            base = part.first[text]
-            inside = words[base : part.first[text + 1]]
-            prints = fingerprints(inside, at[own] - base, length[own])
-            for w, item, distance in zip(*self._candidates(prints, length[own]), strict=True):
-                place, n = int(at[own[w]] - base), int(length[own[w]])
-                alike = similarity(_shingles(inside, place, n), self.shingles[item])
+        for at, n in self._windows(part, words, least):
+            # Of windows of the same words in a text the first one stands for all.
+            texts = np.searchsorted(part.first, at, "right").astype(np.uint64)
+            at = at[np.sort(np.unique(mix(window_hashes(words, at, n) + mix(texts)), return_index=True)[1])]
+            prints, items = fingerprints(words, at, np.full(len(at), n)), self.of_length[n]
+            for w, i in zip(*near_pairs(prints, self.print[items]), strict=True):
+                item = int(items[i])
+                distance = int(np.bitwise_count(prints[w] ^ self.print[item]))
+                text = int(np.searchsorted(part.first, at[w], "right")) - 1
+                place = int(at[w] - part.first[text])
+                alike = similarity(_shingles(words, int(at[w]), n), self.shingles[item])
                 held = best.get((text, item))
                 if alike >= least and (held is None or (-alike, distance, place) < (-held[4], held[5], held[2])):
-                    best[text, item] = (text, self.ids[item], place, n, alike, int(distance))
+                    best[text, item] = (text, self.ids[item], place, n, alike, distance)
         yield from best.values()
 
 

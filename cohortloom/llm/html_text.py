@@ -4,6 +4,9 @@ A tree builder applies the implied end tags, skips what is never rendered, and h
 subtrees by the visibility rules (hidden attribute, inline display:none or
 visibility:hidden, closed details, inputs of type hidden). The renderer keeps block spacing,
 list markers with nesting, preformatted text, and pads table cells so columns line up.
+A line wider than COLUMN_WIDTH widens no column: what follows it in its row stands two
+spaces behind. Columns that would begin beyond TABLE_WIDTH stand two spaces behind the cell
+before. So a row gains at most TABLE_WIDTH spaces a line and level of table, and no text is lost.
 
 Pages are independent: one pass in Arrow batches, no shuffle. All visible text is emitted;
 nothing is scored or dropped as boilerplate.
@@ -16,6 +19,7 @@ rendered row by row. Only page_id and html are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -66,6 +70,8 @@ _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?
 # Elements nested deeper stay flat: their text is kept, their nesting isn't.
 DEPTH = 200
 _GAP = re.compile(r"[ \t\n\r\f]+")
+COLUMN_WIDTH = 80
+TABLE_WIDTH = 240
 
 
 @dataclass
@@ -324,7 +330,7 @@ def _span(cell: Node) -> int:
 
 
 def _table(node: Node, out: Layout) -> None:
-    """Cells of a row side by side, each column as wide as its widest cell of one column."""
+    """Cells of a row side by side, each column as wide as the widest line it can hold."""
     stray = list(_strays(node, GROUPS | {"tr", "colgroup", "col"}))
     if any(c.strip() if isinstance(c, str) else True for c in stray):
         render(Node("caption", {}, stray), out)
@@ -349,14 +355,19 @@ def _table(node: Node, out: Layout) -> None:
     widths: dict[int, int] = {}
     for column, wide, lines in (cell for cells in grid for cell in cells):
         if wide == 1:
-            widths[column] = max(widths.get(column, 0), *map(len, lines), 0) if lines else widths.get(column, 0)
+            fitting = (len(line) for line in lines if len(line) <= COLUMN_WIDTH)
+            widths[column] = max(widths.get(column, 0), *fitting, 0, 0)
+    columns, begins = sorted(widths), [0]
+    for column in columns:
+        begins.append(begins[-1] + widths[column] + 2)
     for cells in grid:
+        lefts = [begins[bisect_left(columns, column)] for column, _, _ in cells]
         for at in range(max((len(lines) for _, _, lines in cells), default=0)):
             text = ""
-            for column, _, lines in cells:
-                left = sum(widths.get(c, 0) + 2 for c in range(column))
+            for left, (_, _, lines) in zip(lefts, cells, strict=True):
                 if at < len(lines):
-                    text = (text.ljust(left) if len(text) <= left else text + "  ") + lines[at]
+                    behind = len(text) > left or (left > TABLE_WIDTH and text)
+                    text = (text + "  " if behind else text.ljust(min(left, TABLE_WIDTH))) + lines[at]
             out.line = text
             out.newline(force=bool(text))
 

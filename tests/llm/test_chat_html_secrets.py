@@ -135,6 +135,18 @@ def random_texts():
     return rows
 
 
+def test_wide_cells_widen_no_other_row():
+    rows = "".join(f"<tr><td>k{i}<td>v{i}" for i in range(2000))
+    page = f"<table><tr><td>{'long ' * 4000}<td>end{rows}</table>"
+    text = html_text.visible_text(page)
+    assert len(text) < 2 * len(page) and text.split() == page.replace("<table>", "").replace("</table>", "").replace("<tr>", " ").replace("<td>", " ").split()
+    assert text.split("\n")[1:3] == ["k0     v0", "k1     v1"]
+    cells = "".join(f"<td rowspan=3000>{'c' * 80}" for _ in range(500))
+    tall = f"<table><tr>{cells}{''.join(f'<tr><td>x{i}' for i in range(2000))}</table>"
+    text = html_text.visible_text(tall)
+    assert len(text) < 2000 * 250 + 2 * len(tall) and text.split()[-1] == "x1999"
+
+
 def test_secrets_match_brute_force(spark, documents, rows):
     texts = random_texts()
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)

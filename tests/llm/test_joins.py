@@ -1,9 +1,12 @@
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from cohortloom.llm import components, decontaminate, ngram_join, repeats
+from cohortloom.llm.words import slices
 
 from .conftest import lowered, order
 
@@ -152,12 +155,56 @@ def test_all_fingerprints_within_radius_are_found():
     rng = np.random.default_rng(7)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(50)]
     index = decontaminate.ItemIndex(items)
-    prints, lengths = [], []
-    for i in range(50):
-        for flips in range(decontaminate.RADIUS + 1):
-            mask = sum(1 << int(b) for b in rng.choice(64, flips, replace=False))
-            prints.append(int(index.print[i]) ^ mask)
-            lengths.append(20)
-    window, item, distance = index._candidates(np.array(prints, np.uint64), np.array(lengths))
-    pairs = set(zip(window.tolist(), item.tolist(), strict=True))
-    assert all((k, k // (decontaminate.RADIUS + 1)) in pairs for k in range(len(prints))) and distance.max() <= decontaminate.RADIUS
+    flips = decontaminate.RADIUS + 1
+    prints = [int(index.print[k // flips]) ^ sum(1 << int(b) for b in rng.choice(64, k % flips, replace=False)) for k in range(50 * flips)]
+    for one, two in ((np.array(prints, np.uint64), index.print), (index.print, np.array(prints, np.uint64))):
+        pairs = set(zip(*(c.tolist() for c in decontaminate.near_pairs(one, two)), strict=True))
+        wanted = {(i, j) for i, a in enumerate(one.tolist()) for j, b in enumerate(two.tolist()) if (a ^ b).bit_count() <= decontaminate.RADIUS}
+        assert pairs == wanted and len(pairs) >= len(prints)
+
+
+def recall(items, texts):
+    """(found, wanted) pairs of texts and items by the items' words: under 30, under 50, 50 and more."""
+    index = decontaminate.ItemIndex(list(enumerate(items)))
+    found = set()
+    for part in slices(pa.array(texts)):
+        found |= {(part.low + m[0], m[1]) for m in index.matches(part, decontaminate.SIMILARITY)}
+    out = {n: [0, 0] for n in (30, 50, 10**9)}
+    for t, i in brute_matches(list(enumerate(texts)), list(enumerate(items))):
+        n = min(k for k in out if len(items[i].split()) < k)
+        out[n][0] += (t, i) in found
+        out[n][1] += 1
+    return out
+
+
+def test_recall_by_item_length(spark):
+    """Passages cut at the end or with words replaced, inside other text, against exact similarity."""
+    rng = np.random.default_rng(11)
+    items = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("text").limit(20).collect()]
+    texts = []
+    for item in items:
+        words = item.split()
+        for share in (0.05, 0.1, 0.2):
+            around = [" ".join(f"z{k}" for k in rng.integers(0, 500, 30)) for _ in range(2)]
+            cut = words[: len(words) - int(share * len(words))]
+            other = [f"q{j}" if rng.random() < share / 4 else w for j, w in enumerate(words)]
+            texts += [" ".join([around[0], *kept, around[1]]) for kept in (cut, other)]
+    found = recall(items, texts)
+    assert sum(n for _, n in found.values()) > 60
+    assert all(got >= 0.99 * n for got, n in found.values()), found
+
+
+def test_many_items_take_one_scan_and_long_texts_little_memory(spark):
+    bench = spark.range(5000).selectExpr("id item_id", "concat_ws(' ', transform(sequence(1, 12 + int(id % 9)), x -> concat('w', id, 'v', x))) text")
+    docs = bench.selectExpr("item_id doc_id", "concat('ahead ', text, ' behind') text").where("doc_id % 10 = 0")
+    found = decontaminate.contaminated(docs, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.where("doc_id = item_id").count() == 500
+    items = [(i, " ".join(f"w{(i * 7 + j) % 40}" for j in range(12 + i))) for i in range(29)]
+    text = " ".join(items[k % 29][1] for k in range(500))
+    part = next(slices(pa.array([text])))
+    tracemalloc.start()
+    assert len(list(decontaminate.ItemIndex(items).matches(part, 0.75))) == 29
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
