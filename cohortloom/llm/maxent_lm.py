@@ -9,8 +9,9 @@ are classes of their own; every other word's class is a hash of its last two let
 word needs no table to have one.
 
 Counts are taken over all training texts: each task adds up its words, buckets add up the
-tasks. The COMMON most frequent words are broadcast; the rest are counted once more next to
-the texts they occur in, so nothing as large as the vocabulary is held in one place.
+tasks. Up to COMMON of the most frequent words, down to a count that a histogram of counts
+gives, are broadcast; the rest are counted once more next to the texts they occur in, so
+nothing as large as the vocabulary is held in one place.
 
 Weights are trained in ROUNDS rounds over disjoint parts of the training texts. In a round
 every task makes AdaGrad steps on its own texts from the same weights; the changes, weighted
@@ -137,7 +138,15 @@ def count_words(docs: DataFrame) -> Counts:
         mass[row["kind"]] += row["n"] + row["d"]
         n_tokens += row["n"]
         distinct += row["d"]
-    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()
+    # Sixteen steps a doubling of the count: some hundreds of rows, whatever the vocabulary.
+    step = F.floor(16 * F.log2("n")).cast("int")
+    listed, least = 0, None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        listed += row["count"]
+        if listed > COMMON:
+            break
+        least = row["step"]
+    top = counts.where(step >= F.lit(least)).toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most COMMON rows
     drop_stored(counts)
     word, n, kind = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["kind"].to_numpy(np.int64)
     own = np.flatnonzero(word != _END)[:SINGLE]
