@@ -1,12 +1,19 @@
-"""Language model: hashed maximum entropy over word classes, unigram counts inside a class.
-
-P(word | context) = P(class | context) * (count + 1) / T(class). The class factor is a
-softmax over CLASSES classes; its features are the last word, the word before it and the
-one before that (skips), the last two words, and the two before the last (skip pair), all
-hashed to ROWS weight rows. T(class) is the sum of count + 1 over the class's words in the
-training texts, plus one for a word never seen. The end of text and the most frequent words
-are classes of their own; every other word's class is a hash of its last two letters, so a
-word needs no table to have one.
+"""Language model: hashed maximum entropy, a softmax over classes and one over a class's words.
+
+P(word | context) = P(class | context) * P(leaf | class, context) * (count + 1) / T(leaf).
+Both softmaxes have the same features: the last word, the word before it and the one before
+that (skips), the last two words, and the two before the last (skip pair), all hashed. The
+class factor is a softmax over CLASSES classes. The word factor is a hierarchical softmax:
+DEPTH two-way softmaxes lead from the class to one of its LEAVES leaves, each with a hashed
+weight per feature and node, on top of the odds that plain counts give. T(leaf) is the sum of
+count + 1 over the leaf's words in the training texts, plus one for a word never seen; words
+that share a leaf differ by their counts alone. The end of text and the most frequent words
+are classes of their own, without leaves; every other word's class is a hash of its last two
+letters and its leaf a hash of the word, so a word needs no table to have them.
+
+The weight tables grow with the distinct words of the training texts, from LEAST_ROWS to
+MOST_ROWS rows of CLASSES weights and PAIRS times as many weights of nodes: 8 MB at most,
+which bounds what is broadcast and what a task sends.
 
 Counts are taken over all training texts: each task adds up its words, buckets add up the
 tasks. Up to COMMON of the most frequent words, down to a count that a histogram of counts
@@ -14,9 +21,10 @@ gives, are broadcast; the rest are counted once more next to the texts they occu
 nothing as large as the vocabulary is held in one place.
 
 Weights are trained in ROUNDS rounds over disjoint parts of the training texts. In a round
-every task makes AdaGrad steps on its own texts from the same weights; the changes, weighted
-by tokens, are added up in the cluster and become the next weights. A round moves one block
-of ROWS x CLASSES half-precision changes a task.
+every task makes AdaGrad steps on its own texts from the same weights. Block by block, the
+cluster takes each weight's mean change over the tasks that moved it, by their tokens, so a
+rare feature keeps what one task learned. So a score depends a little on how texts fall into
+tasks; the base score does not.
 
 Defined results: a null or empty text is one end token. A null id is a training document.
 Repeated rows count and are scored one by one. Without training text every count is zero.
@@ -37,9 +45,12 @@ from . import exchange
 from .stored import drop_stored, partitions, store
 from .words import Slice, mix, slices
 
-CLASSES = 64
-SINGLE = 31  # most frequent words that are classes of their own; class 0 is the end of text
-ROWS = 1 << 13
+CLASSES = 32
+SINGLE = 15  # most frequent words that are classes of their own; class 0 is the end of text
+DEPTH = 6
+LEAVES = 1 << DEPTH
+LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 15
+PAIRS = 32  # weights of nodes for each row of class weights
 COMMON = 1 << 16
 ROUNDS = 3
 STEP = 0.3
@@ -52,6 +63,20 @@ _MARKS = np.zeros(256, np.bool_)
 _MARKS[[ord(c) for c in ".,;:!?\"')]|"]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
+# Spreads a feature's hash over the node weights; the root of a class is its node 1.
+_SPREAD = mix(np.arange(CLASSES * LEAVES, dtype=np.uint64)) | np.uint64(1)
+
+
+def leaves(hashes: np.ndarray) -> np.ndarray:
+    """Leaf of each word inside its class."""
+    return (mix(hashes + np.uint64(6)) >> np.uint64(64 - DEPTH)).astype(np.int64)
+
+
+def _paths(classes: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes from the class to the leaf, whether the path leaves each to the right)."""
+    level = np.arange(DEPTH)
+    node = (1 << level) + (leaf[:, None] >> (DEPTH - level))
+    return classes[:, None] * LEAVES + node, (leaf[:, None] >> (DEPTH - 1 - level)) & 1 > 0
 
 
 def _suffix_class(part: Slice) -> np.ndarray:
@@ -80,7 +105,7 @@ class Counts:
     single_class: np.ndarray
     tokens: int
     distinct: int
-    mass: np.ndarray  # T(class)
+    mass: np.ndarray  # T of each class's leaves; the whole class in leaf 0 where it is one word
 
     def classes(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         if not len(self.single):
@@ -129,13 +154,15 @@ def count_words(docs: DataFrame) -> Counts:
         blobs = [exchange.unpack(x.as_buffer().to_pybytes(), ("<u8", "<u4", "u1")) for b in batches for x in b.column("blob")]
         if blobs:
             found, counts, kinds = _add_up(blobs)
-            yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(counts), pa.array(kinds.astype(np.int32))], ["word", "n", "kind"])
+            leaf = np.where(kinds > 0, leaves(found), 0)
+            arrays = [pa.array(c) for c in (found.view(np.int64), counts, kinds.astype(np.int32), leaf.astype(np.int32))]
+            yield pa.record_batch(arrays, ["word", "n", "kind", "leaf"])
 
-    counts = store(exchange.meet(docs.mapInArrow(send, exchange.BLOBS)).mapInArrow(total, "word long, n long, kind int"), "counts")
-    mass = np.ones(CLASSES)
+    counts = store(exchange.meet(docs.mapInArrow(send, exchange.BLOBS)).mapInArrow(total, "word long, n long, kind int, leaf int"), "counts")
+    mass = np.ones((CLASSES, LEAVES))
     n_tokens = distinct = 0
-    for row in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():  # one row a class
-        mass[row["kind"]] += row["n"] + row["d"]
+    for row in counts.groupBy("kind", "leaf").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():  # one row a leaf
+        mass[row["kind"], row["leaf"]] += row["n"] + row["d"]
         n_tokens += row["n"]
         distinct += row["d"]
     # Sixteen steps a doubling of the count: some hundreds of rows, whatever the vocabulary.
@@ -150,15 +177,17 @@ def count_words(docs: DataFrame) -> Counts:
     drop_stored(counts)
     word, n, kind = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["kind"].to_numpy(np.int64)
     own = np.flatnonzero(word != _END)[:SINGLE]
+    leaf = top["leaf"].to_numpy(np.int64)
+    mass[:_SUFFIX, 1:] = 0
     for i, at in enumerate(own.tolist()):
-        mass[kind[at]] -= n[at] + 1
-        mass[1 + i] += n[at] + 1
+        mass[kind[at], leaf[at]] -= n[at] + 1
+        mass[1 + i, 0] += n[at] + 1
     order, single = np.argsort(word), np.argsort(word[own])
     return Counts(word[order], n[order], word[own][single], 1 + single, n_tokens, distinct, mass)
 
 
 def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Weight rows of the five features of each token."""
+    """Hashes of the five features of each token."""
     n = len(hashes)
     text = np.repeat(first[:-1], np.diff(first))
     back = []
@@ -168,19 +197,39 @@ def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     one, two, three = back
     scale = np.uint64(0x9E3779B97F4A7C15)
     rows = [one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * scale + two + np.uint64(4), two * scale + three + np.uint64(5)]
-    return np.stack([(mix(r) % np.uint64(ROWS)).astype(np.int32) for r in rows], axis=1)
+    return np.stack([mix(r) for r in rows], axis=1)
 
 
 class Weights:
-    def __init__(self, rows: np.ndarray, bias: np.ndarray):
-        self.rows, self.bias = rows, bias
+    """Class weights by row, the class bias, and the nodes' weights in one vector; `odds` are
+    the nodes' log odds of going right by plain counts."""
+
+    def __init__(self, flat: np.ndarray, odds: np.ndarray):
+        self.flat, self.odds = flat, odds
+        n_rows = len(flat) // (CLASSES + PAIRS)
+        self.rows = flat[: n_rows * CLASSES].reshape(n_rows, CLASSES)
+        self.pairs = flat[n_rows * CLASSES : n_rows * (CLASSES + PAIRS)]
+        self.bias = flat[n_rows * (CLASSES + PAIRS) :]
+        self._mask = np.uint64(n_rows - 1)
+        self._shift = np.uint64(65 - len(self.pairs).bit_length())
 
     @classmethod
-    def start(cls, mass: np.ndarray) -> Weights:
-        return cls(np.zeros((ROWS, CLASSES), np.float32), np.log(mass / mass.sum()).astype(np.float32))
+    def start(cls, mass: np.ndarray, distinct: int) -> Weights:
+        n_rows = min(max(LEAST_ROWS, 1 << max(0, distinct // 8).bit_length()), MOST_ROWS)
+        flat = np.zeros(n_rows * (CLASSES + PAIRS) + CLASSES, np.float32)
+        flat[-CLASSES:] = np.log(mass.sum(axis=1) / mass.sum())
+        odds = np.zeros((CLASSES, LEAVES), np.float32)
+        for level in range(DEPTH):
+            halves = np.maximum(mass.reshape(CLASSES, 1 << level, 2, -1).sum(axis=3), 1.0)
+            odds[:, 1 << level : 2 << level] = np.log(halves[:, :, 1] / halves[:, :, 0])
+        return cls(flat, odds.ravel())
+
+    def at_rows(self, at: np.ndarray) -> np.ndarray:
+        return (at & self._mask).astype(np.int64)
 
     def _powers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(scores less their maximum, their exponentials) over classes for each token."""
+        at = self.at_rows(at)
         z = self.rows[at[:, 0]]
         for j in range(1, at.shape[1]):
             z += self.rows[at[:, j]]
@@ -189,7 +238,7 @@ class Weights:
         return z, np.exp(z)
 
     def shares(self, at: np.ndarray) -> np.ndarray:
-        """Softmax over classes for each token's feature rows."""
+        """Softmax over classes for each token's features."""
         _, e = self._powers(at)
         e /= e.sum(axis=1, keepdims=True)
         return e
@@ -199,65 +248,120 @@ class Weights:
         z, e = self._powers(at)
         return z[np.arange(len(wanted)), wanted] - np.log(e.sum(axis=1))
 
-
-def _learn(weights: Weights, at: np.ndarray, wanted: np.ndarray, scale: np.ndarray, step: float) -> None:
-    """One AdaGrad step on a batch; `scale` holds each row's squared gradients."""
-    gradient = weights.shares(at)
-    gradient[np.arange(len(wanted)), wanted] -= 1
-    flat = at.ravel()
-    order = np.argsort(flat, kind="stable")
-    rows, counts = exchange.runs(flat[order])
-    total = np.add.reduceat(gradient[order // at.shape[1]], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), axis=0)
-    scale[rows] += (total * total).sum(axis=1)
-    weights.rows[rows] -= step * total / np.sqrt(scale[rows] + 1e-6)[:, None]
-
-
-_PARTS = 16
+    def at_nodes(self, at: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """Places of the node weights of each feature, token by node."""
+        spread = _SPREAD[node]
+        return [((at[:, j, None] * spread) >> self._shift).astype(np.int64) for j in range(at.shape[1])]
+
+    def lean(self, places: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+        """Log odds of going right at each node of each token's path."""
+        z = self.odds[node]
+        for place in places:
+            z += self.pairs[place]
+        return z
+
+    def log_leaf(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log of the share of each token's leaf inside its class."""
+        out = np.zeros(len(wanted))
+        many = np.flatnonzero(wanted >= _SUFFIX)
+        node, right = _paths(wanted[many], leaf[many])
+        z = self.lean(self.at_nodes(at[many], node), node)
+        out[many] = -np.logaddexp(0, np.where(right, -z, z)).sum(axis=1)
+        return out
+
+
+class Learner:
+    """AdaGrad steps on one task's copy of the weights."""
+
+    def __init__(self, weights: Weights):
+        self.weights = weights
+        self._rows = np.ones(len(weights.rows), np.float32)  # squared gradients so far
+        self._pairs = np.ones(len(weights.pairs), np.float32)
+        self._sums = np.zeros(len(weights.pairs), np.float32)
+        self._bias = 1.0
+
+    def learn(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float = STEP) -> None:
+        self._learn_classes(at, wanted, step)
+        many = np.flatnonzero(wanted >= _SUFFIX)
+        if len(many):
+            self._learn_leaves(at[many], wanted[many], leaf[many], step)
+
+    def _learn_classes(self, at: np.ndarray, wanted: np.ndarray, step: float) -> None:
+        w = self.weights
+        gradient = w.shares(at)
+        gradient[np.arange(len(wanted)), wanted] -= 1
+        flat = w.at_rows(at).astype(np.int32).ravel()
+        order = np.argsort(flat, kind="stable")
+        rows, counts = exchange.runs(flat[order])
+        total = np.add.reduceat(gradient[order // at.shape[1]], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), axis=0)
+        self._rows[rows] += (total * total).sum(axis=1)
+        w.rows[rows] -= step * total / np.sqrt(self._rows[rows] + 1e-6)[:, None]
+        total = gradient.sum(axis=0)
+        self._bias += float((total * total).sum())
+        w.bias -= step * total / np.sqrt(self._bias)
+
+    def _learn_leaves(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float) -> None:
+        w = self.weights
+        node, right = _paths(wanted, leaf)
+        places = w.at_nodes(at, node)
+        gradient = (1 / (1 + np.exp(-w.lean(places, node))) - right).astype(np.float32).ravel()
+        place = np.concatenate([p.ravel() for p in places])
+        np.add.at(self._sums, place, np.tile(gradient, len(places)))
+        total = self._sums[place]
+        self._sums[place] = 0
+        # A place that comes up again is given the same value again.
+        scale = self._pairs[place] + total * total
+        self._pairs[place] = scale
+        w.pairs[place] = w.pairs[place] - step * total / np.sqrt(scale)
+
+
+_BLOCK = 1 << 14
 
 
 def train(docs: DataFrame, counts: Counts, part_of: Column) -> Weights:
     """Weights after ROUNDS rounds; round r uses the texts where `part_of` is r."""
-    weights = Weights.start(counts.mass)
+    weights = Weights.start(counts.mass, counts.distinct)
+    n_blocks = -(-len(weights.flat) // _BLOCK)
     context = docs.sparkSession.sparkContext
     for r in range(ROUNDS):
-        shared = context.broadcast((counts, weights))
+        shared = context.broadcast((counts, weights.flat, weights.odds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, given = shared.value
-            local = Weights(given.rows.copy(), given.bias)
-            scale = np.full(ROWS, 1.0, np.float32)
+            known, given, odds = shared.value
+            local = Weights(given.copy(), odds)
+            learner = Learner(local)
             seen = 0
             for batch in batches:
                 for part in slices(batch.column("text"), 1_000_000):
                     hashes, kinds, first = tokens(part)
-                    at, wanted = features(hashes, first), known.classes(hashes, kinds)
+                    at, wanted, leaf = features(hashes, first), known.classes(hashes, kinds), leaves(hashes)
                     for low in range(0, len(wanted), BATCH):
-                        _learn(local, at[low : low + BATCH], wanted[low : low + BATCH], scale, STEP)
+                        high = low + BATCH
+                        learner.learn(at[low:high], wanted[low:high], leaf[low:high])
                     seen += len(wanted)
             if seen:
-                change = np.split((local.rows - given.rows).astype("<f2"), _PARTS)
-                yield pa.record_batch(
-                    [pa.array(range(_PARTS), pa.int32()), pa.array([seen] * _PARTS, pa.int64()), pa.array([c.tobytes() for c in change], pa.binary())],
-                    ["part", "seen", "change"],
-                )
+                change = (local.flat - given).astype("<f2")
+                blocks = [change[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in range(n_blocks)]
+                arrays = [pa.array(range(n_blocks), pa.int32()), pa.array([seen] * n_blocks, pa.int64()), pa.array(blocks, pa.binary())]
+                yield pa.record_batch(arrays, ["block", "seen", "change"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
-            seen: dict[int, int] = {}
+            seen: dict[int, np.ndarray] = {}
             for batch in batches:
                 for p, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    change = np.frombuffer(raw.as_buffer(), "<f2").astype(np.float64) * n
-                    sums[p] = sums.get(p, 0.0) + change
-                    seen[p] = seen.get(p, 0) + n
+                    change = np.frombuffer(raw.as_buffer(), "<f2").astype(np.float64)
+                    sums[p] = sums.get(p, 0.0) + change * n
+                    seen[p] = seen.get(p, 0.0) + (change != 0) * float(n)
             for p, total in sums.items():
-                mean = (total / seen[p]).astype("<f4").tobytes()
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([mean], pa.binary())], ["part", "change"])
-
-        changes = docs.where(part_of == F.lit(r)).mapInArrow(run, "part int, seen long, change binary")
-        summed = store(changes.repartition(_PARTS, "part").mapInArrow(add, "part int, change binary"), "weights")
-        for row in summed.collect():  # the weights: ROWS x CLASSES numbers
-            block = slice(row["part"] * ROWS // _PARTS, (row["part"] + 1) * ROWS // _PARTS)
-            weights.rows[block] += np.frombuffer(row["change"], "<f4").reshape(-1, CLASSES)
+                mean = (total / np.maximum(seen[p], 1.0)).astype("<f4").tobytes()
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([mean], pa.binary())], ["block", "change"])
+
+        changes = docs.where(part_of == F.lit(r)).mapInArrow(run, "block int, seen long, change binary")
+        summed = store(changes.repartition(n_blocks, "block").mapInArrow(add, "block int, change binary"), "weights")
+        for row in summed.collect():  # the weights, 8 MB at most
+            low = row["block"] * _BLOCK
+            weights.flat[low : low + _BLOCK] += np.frombuffer(row["change"], "<f4")
         drop_stored(summed)
     return weights
 
@@ -339,19 +443,20 @@ def _rare_sums(docs: DataFrame, counts) -> DataFrame:
 
 def _score(counts, weights) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = counts.value, weights.value
+        known, model = counts.value, Weights(*weights.value)
         logs = np.append(np.log10(known.count + 1.0), 0.0)
-        mass = np.log10(known.mass)
+        mass = np.log10(np.maximum(known.mass, 1.0))
         for batch in batches:
             columns: list[list] = [[], [], [], []]
             for part in slices(batch.column("text"), 500_000):
                 hashes, kinds, first = tokens(part)
                 place = known.known(hashes)
                 wanted, at = known.classes(hashes, kinds), features(hashes, first)
+                leaf = np.where(wanted >= _SUFFIX, leaves(hashes), 0)
                 gain = np.empty(len(hashes))
                 for low in range(0, len(hashes), BATCH):
-                    own = wanted[low : low + BATCH]
-                    gain[low : low + BATCH] = model.log_share(at[low : low + BATCH], own) / np.log(10) - mass[own]
+                    one, own, end = at[low : low + BATCH], wanted[low : low + BATCH], leaf[low : low + BATCH]
+                    gain[low : low + BATCH] = (model.log_share(one, own) + model.log_leaf(one, own, end)) / np.log(10) - mass[own, end]
                 columns[0] += np.diff(first).tolist()
                 columns[1] += np.add.reduceat(gain, first[:-1]).tolist()
                 columns[2] += np.add.reduceat(logs[place], first[:-1]).tolist()
@@ -378,7 +483,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     learning = rows.where(~F.col("held_out"))
     found = count_words(learning.select("text"))
     weights = train(learning.select("text", "key"), found, F.pmod("key", F.lit(ROUNDS)))
-    counts, model = context.broadcast(found), context.broadcast(weights)
+    counts, model = context.broadcast(found), context.broadcast((weights.flat, weights.odds))
     scored = rows.mapInArrow(
         _score(counts, model), "key long, doc_id long, held_out boolean, n_tokens long, gain double, common_log double, common_known long"
     )

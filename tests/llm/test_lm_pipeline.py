@@ -32,10 +32,16 @@ def test_scores(documents, rows):
     assert unseen["score"].sum() > unseen["base_score"].sum()
 
 
+def _random_weights(seed):
+    rng = np.random.default_rng(seed)
+    weights = maxent_lm.Weights.start(1 + rng.random((maxent_lm.CLASSES, maxent_lm.LEAVES)), 1000)
+    weights.flat[:] = rng.normal(size=len(weights.flat))
+    return weights
+
+
 def test_the_model_is_a_distribution():
-    """Class shares add up to one, and so do the words of a class with its unseen one."""
-    rng = np.random.default_rng(2)
-    weights = maxent_lm.Weights(rng.normal(size=(maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32), np.zeros(maxent_lm.CLASSES, np.float32))
+    """Class shares add up to one, and so do the leaves of a class."""
+    weights = _random_weights(2)
     part = next(slices(pa.array(["a b c d e", "", "x"])))
     hashes, kinds, first = maxent_lm.tokens(part)
     assert first.tolist() == [0, 6, 7, 9] and (kinds == 0).sum() == 3
@@ -44,26 +50,61 @@ def test_the_model_is_a_distribution():
     assert np.allclose(shares.sum(axis=1), 1, atol=1e-5)
     own = np.arange(len(hashes)) % maxent_lm.CLASSES
     assert np.allclose(weights.log_share(at, own), np.log(shares[np.arange(len(own)), own]), atol=1e-5)
+    for c in range(maxent_lm.CLASSES):
+        each = [weights.log_leaf(at, np.full(len(at), c), np.full(len(at), leaf)) for leaf in range(maxent_lm.LEAVES)]
+        if c <= maxent_lm.SINGLE:
+            assert not np.any(each)
+        else:
+            assert np.allclose(np.exp(each).sum(axis=0), 1, atol=1e-4) and np.ptp(each) > 1
+
 
+def test_without_weights_leaves_have_their_share_of_the_counts():
+    mass = 1 + np.random.default_rng(3).integers(0, 50, (maxent_lm.CLASSES, maxent_lm.LEAVES)).astype(float)
+    weights = maxent_lm.Weights.start(mass, 1000)
+    at = np.zeros((maxent_lm.LEAVES, 5), np.uint64)
+    found = weights.log_leaf(at, np.full(maxent_lm.LEAVES, 20), np.arange(maxent_lm.LEAVES))
+    assert np.allclose(found, np.log(mass[20] / mass[20].sum()), atol=1e-4)
 
-def test_class_mass_is_the_count_of_its_words(spark):
+
+def test_leaf_mass_is_the_count_of_its_words(spark):
     docs = spark.createDataFrame([("the cat the dog.",), ("The end!",), (None,)], "text string")
     counts = maxent_lm.count_words(docs)
     assert counts.tokens == 6 + 3 and counts.distinct == 5
-    assert counts.mass.sum() == counts.tokens + counts.distinct + maxent_lm.CLASSES
+    unseen = maxent_lm.SINGLE + 1 + (maxent_lm.CLASSES - maxent_lm.SINGLE - 1) * maxent_lm.LEAVES
+    assert counts.mass.sum() == counts.tokens + counts.distinct + unseen
+
+
+def test_tables_grow_with_distinct_words():
+    mass = np.ones((maxent_lm.CLASSES, maxent_lm.LEAVES))
+    sizes = [len(maxent_lm.Weights.start(mass, n).rows) for n in (0, 100_000, 200_000, 10**9)]
+    assert sizes == [1 << 13, 1 << 14, 1 << 15, 1 << 15]
 
 
-def test_training_lowers_the_loss():
-    rng = np.random.default_rng(4)
-    hashes = np.array([11, 22, 33], np.uint64)[np.arange(6000) % 3]
-    at = maxent_lm.features(hashes, np.array([0, 6000]))
-    wanted = (np.arange(6000) % 3) + 1 + 0 * rng.integers(0, 2, 6000)
-    weights = maxent_lm.Weights.start(np.ones(maxent_lm.CLASSES))
-    scale = np.ones(maxent_lm.ROWS, np.float32)
-    before = weights.log_share(at, wanted).mean()
+@pytest.mark.parametrize("own", [lambda i: i % 3 + 1, lambda i: np.full(len(i), 20)])
+def test_training_lowers_the_loss_of_classes_and_of_words(own):
+    place = np.arange(6000) % 3
+    at = maxent_lm.features(np.array([11, 22, 33], np.uint64)[place], np.array([0, 6000]))
+    wanted, leaf = own(np.arange(6000)), place * 7
+    weights = maxent_lm.Weights.start(np.ones((maxent_lm.CLASSES, maxent_lm.LEAVES)), 1000)
+    learner = maxent_lm.Learner(weights)
+
+    def fit():
+        return (weights.log_share(at, wanted) + weights.log_leaf(at, wanted, leaf)).mean()
+
+    before = fit()
     for _ in range(5):
-        maxent_lm._learn(weights, at, wanted, scale, maxent_lm.STEP)
-    assert weights.log_share(at, wanted).mean() > before + 1
+        learner.learn(at, wanted, leaf)
+    assert fit() > before + 1
+
+
+def test_scores_hardly_depend_on_tasks(spark):
+    """The base score not at all; unseen documents within two per cent."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = [maxent_lm.score(docs.repartition(n, "doc_id"), langid.id_fold(7) == F.lit(2)).drop_duplicates().toPandas() for n in (1, 7)]
+    one, seven = (f.set_index("doc_id").sort_index() for f in found)
+    assert np.allclose(one["base_score"], seven["base_score"], rtol=1e-9)
+    totals = [f.loc[f["held_out"], "score"].sum() for f in (one, seven)]
+    assert math.isclose(*totals, rel_tol=0.02)
 
 
 def test_scores_of_empty_table(empty):
