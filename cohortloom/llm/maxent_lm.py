@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,11 @@ COMMON = 1 << 16
 ROUNDS = 3
 STEP = 0.3
 BATCH = 4096
+_GROUP = 8 * BATCH  # tokens whose features are held at once
+_PLAIN = 60.0  # scores nearer to zero than this have exponentials that add up without a shift
+_FEW = 3
+_SLOT = np.uint64(64 - 18)  # a hash's bits below those that name its slot
+_PLACE = 24  # bits of an entry's number below its place
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEFORE = np.uint64(0x14057B7EF767814F)
@@ -73,10 +79,10 @@ def leaves(hashes: np.ndarray) -> np.ndarray:
 
 
 def _paths(classes: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes from the class to the leaf, whether the path leaves each to the right)."""
-    level = np.arange(DEPTH)
-    node = (1 << level) + (leaf[:, None] >> (DEPTH - level))
-    return classes[:, None] * LEAVES + node, (leaf[:, None] >> (DEPTH - 1 - level)) & 1 > 0
+    """(nodes from the class to the leaf, whether the path leaves each to the right), level by token."""
+    level = np.arange(DEPTH)[:, None]
+    node = (1 << level) + (leaf >> (DEPTH - level))
+    return classes * LEAVES + node, (leaf >> (DEPTH - 1 - level)) & 1 > 0
 
 
 def _suffix_class(part: Slice) -> np.ndarray:
@@ -107,6 +113,21 @@ class Counts:
     distinct: int
     mass: np.ndarray  # T of each class's leaves; the whole class in leaf 0 where it is one word
 
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """The place of the most frequent word for each value of a hash's leading bits."""
+        slots = np.zeros(1 << (64 - int(_SLOT)), np.int32)
+        order = np.argsort(self.count, kind="stable")
+        slots[(self.common[order] >> _SLOT).view(np.int64)] = order
+        return slots
+
+    @cached_property
+    def crowded(self) -> np.ndarray:
+        """Whether the slot of each frequent word has others."""
+        slot = self.common >> _SLOT
+        same = slot[1:] == slot[:-1]
+        return np.append(same, False) | np.insert(same, 0, False)
+
     def classes(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         if not len(self.single):
             return kinds
@@ -117,14 +138,23 @@ class Counts:
         """Place on the list of frequent words, or -1."""
         if not len(self.common):
             return np.full(len(hashes), -1)
-        place = np.minimum(np.searchsorted(self.common, hashes), len(self.common) - 1)
-        return np.where(self.common[place] == hashes, place, -1)
+        slot = self.slots.take((hashes >> _SLOT).view(np.int64))
+        place = np.where(self.common.take(slot) == hashes, slot, -1)
+        # A slot names one of its words; the others are looked for.
+        other = np.flatnonzero((place < 0) & self.crowded.take(slot))
+        if len(other):
+            found = np.minimum(np.searchsorted(self.common, hashes[other]), len(self.common) - 1)
+            place[other] = np.where(self.common[found] == hashes[other], found, -1)
+        return place
 
 
 def _add_up(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashes, counts, kinds = (np.concatenate(c) for c in zip(*held, strict=True))
-    found, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return found, np.bincount(inverse, weights=counts).astype(np.int64), kinds[first]
+    order = np.argsort(hashes)
+    found, sizes = exchange.runs(hashes[order])
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    total = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else starts
+    return found, total, kinds[order[starts]]
 
 
 def count_words(docs: DataFrame) -> Counts:
@@ -186,18 +216,22 @@ def count_words(docs: DataFrame) -> Counts:
     return Counts(word[order], n[order], word[own][single], 1 + single, n_tokens, distinct, mass)
 
 
-def features(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the five features of each token."""
-    n = len(hashes)
-    text = np.repeat(first[:-1], np.diff(first))
-    back = []
-    for j in (1, 2, 3):
-        at = np.arange(n) - j
-        back.append(np.where(at >= text, hashes[np.maximum(at, 0)], _BEFORE))
-    one, two, three = back
+def features(hashes: np.ndarray, first: np.ndarray, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Hashes of the five features of each token, or of those from `begin` to `end`."""
+    end = len(hashes) if end is None else min(end, len(hashes))
+    since = np.full(len(hashes), 3, np.int8)  # tokens of the text before each, three at most
+    for j in (2, 1, 0):
+        at = first[:-1] + j
+        since[at[at < len(hashes)]] = j
+    out = np.empty((5, end - begin), np.uint64)
     scale = np.uint64(0x9E3779B97F4A7C15)
-    rows = [one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * scale + two + np.uint64(4), two * scale + three + np.uint64(5)]
-    return np.stack([mix(r) for r in rows], axis=1)
+    for low in range(begin, end, BATCH):
+        place = np.arange(low, min(low + BATCH, end))
+        one, two, three = (np.where(since[place] >= j, hashes.take(np.maximum(place - j, 0)), _BEFORE) for j in (1, 2, 3))
+        rows = [one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * scale + two + np.uint64(4), two * scale + three + np.uint64(5)]
+        for j, r in enumerate(rows):
+            out[j, low - begin : low - begin + len(place)] = mix(r)
+    return out.T
 
 
 class Weights:
@@ -210,6 +244,7 @@ class Weights:
         self.rows = flat[: n_rows * CLASSES].reshape(n_rows, CLASSES)
         self.pairs = flat[n_rows * CLASSES : n_rows * (CLASSES + PAIRS)]
         self.bias = flat[n_rows * (CLASSES + PAIRS) :]
+        self.whole = self.rows.view(f"V{4 * CLASSES}")[:, 0]  # a row as one item
         self._mask = np.uint64(n_rows - 1)
         self._shift = np.uint64(65 - len(self.pairs).bit_length())
 
@@ -227,49 +262,72 @@ class Weights:
     def at_rows(self, at: np.ndarray) -> np.ndarray:
         return (at & self._mask).astype(np.int64)
 
-    def _powers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores less their maximum, their exponentials) over classes for each token."""
-        at = self.at_rows(at)
-        z = self.rows[at[:, 0]]
-        for j in range(1, at.shape[1]):
-            z += self.rows[at[:, j]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return z, np.exp(z)
-
     def shares(self, at: np.ndarray) -> np.ndarray:
         """Softmax over classes for each token's features."""
-        _, e = self._powers(at)
-        e /= e.sum(axis=1, keepdims=True)
+        _, e = _powers(self.rows, self.at_rows(at), self.bias)
+        e /= np.einsum("ij->i", e)[:, None]
         return e
 
     def log_share(self, at: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Natural log of the share of each token's own class."""
-        z, e = self._powers(at)
-        return z[np.arange(len(wanted)), wanted] - np.log(e.sum(axis=1))
+        z, e = _powers(self.rows, self.at_rows(at), self.bias)
+        return z[np.arange(len(wanted)), wanted] - np.log(np.einsum("ij->i", e))
 
-    def at_nodes(self, at: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        """Places of the node weights of each feature, token by node."""
-        spread = _SPREAD[node]
-        return [((at[:, j, None] * spread) >> self._shift).astype(np.int64) for j in range(at.shape[1])]
-
-    def lean(self, places: list[np.ndarray], node: np.ndarray) -> np.ndarray:
-        """Log odds of going right at each node of each token's path."""
-        z = self.odds[node]
-        for place in places:
-            z += self.pairs[place]
-        return z
+    def at_nodes(self, at: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Places of the node weights: feature by level by token."""
+        return ((at.T[:, None, :] * _SPREAD[node]) >> self._shift).view(np.int64)
 
     def log_leaf(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural log of the share of each token's leaf inside its class."""
         out = np.zeros(len(wanted))
         many = np.flatnonzero(wanted >= _SUFFIX)
         node, right = _paths(wanted[many], leaf[many])
-        z = self.lean(self.at_nodes(at[many], node), node)
-        out[many] = -np.logaddexp(0, np.where(right, -z, z)).sum(axis=1)
+        z = _lean(self.pairs.take(self.at_nodes(at.T[:, many].T, node)), self.odds[node])
+        out[many] = -_softplus(np.where(right, -z, z)).sum(axis=0)
         return out
 
 
+def _powers(rows: np.ndarray, at: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, less their maximum where that is needed, their exponentials) over classes for
+    each token."""
+    z = rows.take(at[:, 0], axis=0)
+    for j in range(1, at.shape[1]):
+        z += rows.take(at[:, j], axis=0)
+    z += bias
+    if z.size and not (z.max() < _PLAIN and z.min() > -_PLAIN):
+        z -= z.max(axis=1, keepdims=True)
+    return z, np.exp(z)
+
+
+def _lean(weights: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Log odds of going right at each node of each token's path."""
+    for w in weights:
+        odds = odds + w
+    return odds
+
+
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z)))
+
+
+def _run_sums(values: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of `values[at]` over each run of `counts` neighbours, a few at a time; the last row of
+    `values` is zero."""
+    out = values.take(at.take(np.cumsum(counts) - counts), axis=0)
+    more = counts > 1
+    if more.any():
+        sizes, members = counts[more], at[np.repeat(more, counts)]
+        parts = -(-sizes // _FEW)
+        shift = _FEW * (np.cumsum(parts) - parts) - (np.cumsum(sizes) - sizes)
+        padded = np.full(_FEW * int(parts.sum()), len(values) - 1)
+        padded[np.repeat(shift, sizes) + np.arange(len(members))] = members
+        sums = np.zeros((len(padded) // _FEW + 1, values.shape[1]), values.dtype)
+        for j in range(_FEW):
+            sums[:-1] += values.take(padded[j::_FEW], axis=0)
+        out[more] = _run_sums(sums, np.arange(len(sums) - 1), parts)
+    return out
+
+
 class Learner:
     """AdaGrad steps on one task's copy of the weights."""
 
@@ -277,42 +335,61 @@ class Learner:
         self.weights = weights
         self._rows = np.ones(len(weights.rows), np.float32)  # squared gradients so far
         self._pairs = np.ones(len(weights.pairs), np.float32)
-        self._sums = np.zeros(len(weights.pairs), np.float32)
         self._bias = 1.0
 
     def learn(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float = STEP) -> None:
-        self._learn_classes(at, wanted, step)
-        many = np.flatnonzero(wanted >= _SUFFIX)
-        if len(many):
-            self._learn_leaves(at[many], wanted[many], leaf[many], step)
+        self.learn_classes(at, wanted, leaf, step)
+        self.learn_leaves(at, wanted, leaf, step)
 
-    def _learn_classes(self, at: np.ndarray, wanted: np.ndarray, step: float) -> None:
+    def learn_classes(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float = STEP) -> None:
         w = self.weights
-        gradient = w.shares(at)
-        gradient[np.arange(len(wanted)), wanted] -= 1
-        flat = w.at_rows(at).astype(np.int32).ravel()
+        # Row numbers have 16 bits at most, which numpy sorts by counting.
+        flat = w.at_rows(at).T.astype(np.uint16).ravel()
         order = np.argsort(flat, kind="stable")
         rows, counts = exchange.runs(flat[order])
-        total = np.add.reduceat(gradient[order // at.shape[1]], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), axis=0)
-        self._rows[rows] += (total * total).sum(axis=1)
-        w.rows[rows] -= step * total / np.sqrt(self._rows[rows] + 1e-6)[:, None]
+        rows = rows.astype(np.int64)
+        place = np.empty(len(flat), np.int64)
+        place[order] = np.repeat(np.arange(len(rows)), counts)
+        held = w.rows.take(rows, axis=0)
+        _, e = _powers(held, place.reshape(-1, len(wanted)).T, w.bias)
+        gradient = np.zeros((len(wanted) + 1, CLASSES), np.float32)
+        np.divide(e, np.einsum("ij->i", e)[:, None], out=gradient[:-1])
+        gradient[np.arange(len(wanted)), wanted] -= 1
+        token = np.tile(np.arange(len(wanted)), at.shape[1])
+        total = _run_sums(gradient, token.take(order), counts.astype(np.int64))
+        scale = self._rows.take(rows) + np.einsum("ij,ij->i", total, total)
+        self._rows[rows] = scale
+        total *= (step / np.sqrt(scale + 1e-6))[:, None]
+        held -= total
+        w.whole[rows] = held.view(w.whole.dtype)[:, 0]
         total = gradient.sum(axis=0)
         self._bias += float((total * total).sum())
         w.bias -= step * total / np.sqrt(self._bias)
 
-    def _learn_leaves(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float) -> None:
+    def learn_leaves(self, at: np.ndarray, wanted: np.ndarray, leaf: np.ndarray, step: float = STEP) -> None:
+        """Places are sorted, so that the tables are read and written once a place and in order."""
         w = self.weights
+        many = np.flatnonzero(wanted >= _SUFFIX)
+        if not len(many):
+            return
+        at, wanted, leaf = at.T[:, many].T, wanted[many], leaf[many]
         node, right = _paths(wanted, leaf)
         places = w.at_nodes(at, node)
-        gradient = (1 / (1 + np.exp(-w.lean(places, node))) - right).astype(np.float32).ravel()
-        place = np.concatenate([p.ravel() for p in places])
-        np.add.at(self._sums, place, np.tile(gradient, len(places)))
-        total = self._sums[place]
-        self._sums[place] = 0
-        # A place that comes up again is given the same value again.
-        scale = self._pairs[place] + total * total
+        keys = np.sort((places.ravel() << _PLACE) + np.arange(places.size))
+        entry = keys & ((1 << _PLACE) - 1)
+        keys >>= _PLACE
+        new = np.ones(len(keys), np.bool_)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        place, run = keys[new], np.cumsum(new) - 1
+        held = w.pairs.take(place)
+        weights = np.empty(places.size, np.float32)
+        weights[entry] = held.take(run)
+        gradient = np.empty(places.shape, np.float32)
+        gradient[:] = 1 / (1 + np.exp(-_lean(weights.reshape(places.shape), w.odds.take(node)))) - right
+        total = np.bincount(run, weights=gradient.ravel().take(entry)).astype(np.float32)
+        scale = self._pairs.take(place) + total * total
         self._pairs[place] = scale
-        w.pairs[place] = w.pairs[place] - step * total / np.sqrt(scale)
+        w.pairs[place] = held - step * total / np.sqrt(scale)
 
 
 _BLOCK = 1 << 14
@@ -334,10 +411,14 @@ def train(docs: DataFrame, counts: Counts, part_of: Column) -> Weights:
             for batch in batches:
                 for part in slices(batch.column("text"), 1_000_000):
                     hashes, kinds, first = tokens(part)
-                    at, wanted, leaf = features(hashes, first), known.classes(hashes, kinds), leaves(hashes)
-                    for low in range(0, len(wanted), BATCH):
-                        high = low + BATCH
-                        learner.learn(at[low:high], wanted[low:high], leaf[low:high])
+                    wanted, leaf = known.classes(hashes, kinds), leaves(hashes)
+                    for low in range(0, len(wanted), _GROUP):
+                        at = features(hashes, first, low, low + _GROUP)
+                        # The two softmaxes share no weights; one after the other they need less cache.
+                        for learn in (learner.learn_classes, learner.learn_leaves):
+                            for here in range(0, len(at), BATCH):
+                                own = slice(low + here, low + here + BATCH)
+                                learn(at[here : here + BATCH], wanted[own], leaf[own])
                     seen += len(wanted)
             if seen:
                 change = (local.flat - given).astype("<f2")
@@ -454,9 +535,11 @@ def _score(counts, weights) -> Callable:
                 wanted, at = known.classes(hashes, kinds), features(hashes, first)
                 leaf = np.where(wanted >= _SUFFIX, leaves(hashes), 0)
                 gain = np.empty(len(hashes))
+                for low in range(0, len(hashes), BATCH):
+                    gain[low : low + BATCH] = model.log_share(at[low : low + BATCH], wanted[low : low + BATCH])
                 for low in range(0, len(hashes), BATCH):
                     one, own, end = at[low : low + BATCH], wanted[low : low + BATCH], leaf[low : low + BATCH]
-                    gain[low : low + BATCH] = (model.log_share(one, own) + model.log_leaf(one, own, end)) / np.log(10) - mass[own, end]
+                    gain[low : low + BATCH] = (gain[low : low + BATCH] + model.log_leaf(one, own, end)) / np.log(10) - mass[own, end]
                 columns[0] += np.diff(first).tolist()
                 columns[1] += np.add.reduceat(gain, first[:-1]).tolist()
                 columns[2] += np.add.reduceat(logs[place], first[:-1]).tolist()

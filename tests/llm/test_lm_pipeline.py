@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -97,6 +98,101 @@ def test_training_lowers_the_loss_of_classes_and_of_words(own):
     assert fit() > before + 1
 
 
+def _plain_step(w, sums, at, wanted, leaf, step=maxent_lm.STEP):
+    """One AdaGrad step, weight by weight as the gradient says; `sums` are the squares so far."""
+    n = len(wanted)
+    gradient = w.shares(at).astype(np.float64)
+    gradient[np.arange(n), wanted] -= 1
+    total = np.zeros(w.rows.shape)
+    rows = w.at_rows(at)
+    for j in range(5):
+        np.add.at(total, rows[:, j], gradient)
+    sums[0] += (total**2).sum(axis=1)
+    bias = gradient.sum(axis=0)
+    sums[1] += (bias**2).sum()
+    nodes, flat = np.zeros(len(w.pairs)), w.pairs.copy()
+    for t in np.flatnonzero(wanted > maxent_lm.SINGLE):
+        for level in range(maxent_lm.DEPTH):
+            node = wanted[t] * maxent_lm.LEAVES + (1 << level) + (leaf[t] >> (maxent_lm.DEPTH - level))
+            place = ((at[t] * maxent_lm._SPREAD[node]) >> w._shift).astype(np.int64)
+            right = (leaf[t] >> (maxent_lm.DEPTH - 1 - level)) & 1
+            np.add.at(nodes, place, 1 / (1 + math.exp(-w.odds[node] - flat[place].sum())) - right)
+    sums[2] += nodes**2
+    w.rows -= (step * total / np.sqrt(sums[0] + 1e-6)[:, None]).astype(np.float32)
+    w.bias -= (step * bias / math.sqrt(sums[1])).astype(np.float32)
+    w.pairs -= (step * nodes / np.sqrt(sums[2])).astype(np.float32)
+
+
+def _batch(n, seed=4):
+    rng = np.random.default_rng(seed)
+    words = rng.zipf(1.3, n) % 50_000
+    at = maxent_lm.features(maxent_lm.mix(words.astype(np.uint64)), np.array([0, n // 3, n // 3 + 1, n]))
+    return at, (words % maxent_lm.CLASSES).astype(np.int64), (words % maxent_lm.LEAVES).astype(np.int64)
+
+
+@pytest.mark.parametrize("scale", [0.0, 1.0, 40.0])
+def test_a_step_is_that_of_the_plain_gradient(scale):
+    at, wanted, leaf = _batch(700)
+    one, two = _random_weights(5), _random_weights(5)
+    for w in (one, two):
+        w.flat *= np.float32(scale)
+    learner, sums = maxent_lm.Learner(one), [np.ones(len(two.rows)), 1.0, np.ones(len(two.pairs))]
+    for _ in range(2):
+        learner.learn(at, wanted, leaf)
+        _plain_step(two, sums, at, wanted, leaf)
+    assert np.allclose(one.flat, two.flat, atol=2e-4 * max(1, scale))
+
+
+def test_runs_of_rows_add_up():
+    rng = np.random.default_rng(6)
+    counts = np.array([1, 1, 2, 3, 4, 9, 10, 28, 1, 700])
+    values = np.vstack([rng.integers(-9, 9, (50, 32)), np.zeros((1, 32))]).astype(np.float32)
+    at = rng.integers(0, 50, counts.sum())
+    wanted = [values[part].sum(axis=0) for part in np.split(at, np.cumsum(counts)[:-1])]
+    assert np.array_equal(maxent_lm._run_sums(values, at, counts), wanted)
+
+
+def test_learning_costs_less_than_sums_over_every_run():
+    """Summing class gradients run by run, column by column, was most of the CPU time."""
+    at, wanted, leaf = _batch(maxent_lm.BATCH)
+    weights = _random_weights(7)
+    learner, rows = maxent_lm.Learner(weights), weights.at_rows(at).ravel()
+    gradient = np.ones((maxent_lm.BATCH, maxent_lm.CLASSES), np.float32)
+
+    def by_runs():
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        np.add.reduceat(gradient[order // 5], starts, axis=0)
+
+    def best(step):
+        times = []
+        for _ in range(9):
+            begin = time.process_time()
+            step()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert best(lambda: learner.learn_classes(at, wanted, leaf)) < best(by_runs)
+
+
+def test_features_of_a_part_are_those_of_the_whole():
+    hashes = maxent_lm.mix(np.arange(10_000, dtype=np.uint64))
+    first = np.array([0, 1, 2, 5, 4096, 4097, 9000, 10_000])
+    whole = maxent_lm.features(hashes, first)
+    for low, high in ((0, 4097), (3, 9), (4096, 8192), (9_999, 20_000)):
+        assert np.array_equal(maxent_lm.features(hashes, first, low, high), whole[low:high])
+
+
+def test_frequent_words_are_found_where_slots_are_shared():
+    rng = np.random.default_rng(8)
+    common = np.unique(np.append(rng.integers(0, 2**63, 5000), np.arange(7, 300, 3)).astype(np.uint64))
+    count = rng.integers(1, 99, len(common))
+    counts = maxent_lm.Counts(common, count, common[:0], common[:0].astype(np.int64), 1, 1, np.ones((1, 1)))
+    asked = np.concatenate([common[::-1], np.arange(0, 300, dtype=np.uint64), rng.integers(0, 2**63, 5000).astype(np.uint64)])
+    place = {int(w): i for i, w in enumerate(common)}
+    assert counts.known(asked).tolist() == [place.get(int(w), -1) for w in asked]
+
+
 def test_scores_hardly_depend_on_tasks(spark):
     """The base score not at all; unseen documents within two per cent."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
