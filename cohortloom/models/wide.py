@@ -12,6 +12,10 @@ solve them: a product with the information matrix is a scan of the cells that jo
 direction and adds it up by level, and the elimination over the widest predictor is the
 preconditioner. Vectors over levels stay tables all the way.
 
+The input is read once: its distinct rows, with counts, give the kinds of the predictors and
+the cells. With one wide predictor the cells are laid out by level once, so that a step moves
+the levels' coefficients and no cells, adds up each level where it lies and writes one table.
+
 Defined results: rows that lack the outcome or a predictor are left out. The reference of a
 wide predictor is the first of its levels in text order among the rows used. A level whose
 rows all have one outcome has a coefficient that grows until the step limit or the floor of
@@ -92,15 +96,24 @@ def _normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or math.isnan(v) else two_sided_normal_p(v))
 
 
-def _cells(df: DataFrame, label: Column, dense: list[Term], wide: list[str]) -> DataFrame:
+def _folded(df: DataFrame, names: list[str]) -> tuple[DataFrame, str]:
+    """(distinct rows of the named columns with counts, the count's name)."""
+    names = [n for n in dict.fromkeys(names) if n in df.columns]
+    count = "n"
+    while count in (n.lower() for n in names):
+        count = f"_{count}"
+    return df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count("*").alias(count)), count
+
+
+def _cells(df: DataFrame, count: str, label: Column, dense: list[Term], wide: list[str]) -> DataFrame:
     """(label, x, l0, l1, ..., n): distinct complete rows with counts."""
     x = F.array(*[t.value.cast("double") for t in dense]) if dense else F.array().cast("array<double>")
     levels = [text_form(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"l{i}") for i, c in enumerate(wide)]
-    rows = df.select(label.cast("double").alias("label"), x.alias("x"), *levels)
+    rows = df.select(label.cast("double").alias("label"), x.alias("x"), *levels, F.col(count).alias("n"))
     complete = F.col("label").isNotNull() & F.forall("x", lambda v: v.isNotNull())
     for i in range(len(wide)):
         complete &= F.col(f"l{i}").isNotNull()
-    return rows.where(complete).groupBy("label", "x", *[f"l{i}" for i in range(len(wide))]).agg(F.count("*").cast("double").alias("n"))
+    return rows.where(complete).groupBy("label", "x", *[f"l{i}" for i in range(len(wide))]).agg(F.sum("n").cast("double").alias("n"))
 
 
 def _with_levels(cells: DataFrame, table: DataFrame | None, value: str, m: int) -> DataFrame:
@@ -138,22 +151,47 @@ def _row(which: int, level: Column, **values: Column) -> Column:
     return F.struct(F.lit(which).alias("which"), level.alias("level"), *[v.alias(k) for k, v in values.items()])
 
 
-def _sums(scored: DataFrame, m: int, q: int) -> DataFrame:
-    """(which, level, w, wx, r, b) per level, and as DENSE rows the dense block by row."""
-    rows = scored.withColumn("xi", F.concat(F.array(F.lit(1.0)), "x"))
-    times = lambda c: F.transform("xi", lambda v: v * c)
-    parts = [_row(k, F.col(f"l{k}"), w=F.col("w"), wx=times(F.col("w")), r=F.col("r"), b=F.col(f"b{k}")) for k in range(m)]
+def _dense_parts(q: int) -> list[Column]:
+    """A row for each row of the dense block."""
+    parts = []
     for i in range(q):
         x = F.get("xi", F.lit(i))
-        parts.append(_row(DENSE, F.lit(str(i)), w=F.col("w") * x, wx=times(F.col("w") * x), r=F.col("r") * x, b=F.lit(0.0)))
+        parts.append(_row(DENSE, F.lit(str(i)), w=F.col("w") * x, wx=_times(F.col("w") * x), r=F.col("r") * x, b=F.lit(0.0)))
+    return parts
+
+
+def _times(c: Column) -> Column:
+    return F.transform("xi", lambda v: v * c)
+
+
+def _added(rows: DataFrame, keys: list[str], q: int) -> DataFrame:
     added = [F.sum(F.get("wx", F.lit(j))).alias(f"wx{j}") for j in range(q)]
-    found = rows.select(F.inline(F.array(*parts))).groupBy("which", "level").agg(F.sum("w").alias("w"), F.sum("r").alias("r"), F.max("b").alias("b"), *added)
-    return found.select("which", "level", "w", F.array(*[f"wx{j}" for j in range(q)]).alias("wx"), "r", "b")
+    found = rows.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("r").alias("r"), F.max("b").alias("b"), *added)
+    return found.select(*keys, "w", F.array(*[f"wx{j}" for j in range(q)]).alias("wx"), "r", "b")
 
 
-def _dense_block(sums: DataFrame, q: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(scored: DataFrame, m: int, q: int) -> DataFrame:
+    """(which, level, w, wx, r, b) per level; with several wide predictors also the dense block
+    by row, as DENSE rows."""
+    rows = scored.withColumn("xi", F.concat(F.array(F.lit(1.0)), "x"))
+    if m == 1:
+        # Grouped by the column by which the cells are laid out, so nothing moves.
+        found = _added(rows.select(F.col("l0").alias("level"), "w", _times(F.col("w")).alias("wx"), "r", F.col("b0").alias("b")), ["level"], q)
+        return found.select(F.lit(0).alias("which"), *found.columns)
+    parts = [_row(k, F.col(f"l{k}"), w=F.col("w"), wx=_times(F.col("w")), r=F.col("r"), b=F.col(f"b{k}")) for k in range(m)]
+    return _added(rows.select(F.inline(F.array(*parts, *_dense_parts(q)))), ["which", "level"], q)
+
+
+def _dense_block(sums: DataFrame, scored: DataFrame, m: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """(information, gradient) of the dense terms."""
     matrix, gradient = np.zeros((q, q)), np.zeros(q)
+    if m == 1 and q == 1:
+        row = sums.agg(F.sum("w").alias("w"), F.sum("r").alias("r")).first()
+        matrix[0, 0], gradient[0] = row["w"], row["r"]
+        return matrix, gradient
+    if m == 1:
+        rows = scored.withColumn("xi", F.concat(F.array(F.lit(1.0)), "x"))
+        sums = _added(rows.select(F.inline(F.array(*_dense_parts(q)))), ["which", "level"], q)
     for row in sums.where(F.col("which") == DENSE).collect():
         matrix[int(row["level"])], gradient[int(row["level"])] = row["wx"], row["r"]
     return matrix, gradient
@@ -171,11 +209,13 @@ class _Elimination:
     """Solves the dense terms and the levels of one predictor exactly; the other levels by their
     own weight alone."""
 
-    def __init__(self, levels: DataFrame, matrix: np.ndarray, ridge: float):
+    def __init__(self, levels: DataFrame, matrix: np.ndarray, ridge: float, value: str | None = None):
+        """The shares that `dense` needs of the column `value` are taken on the way."""
         q = len(matrix)
         self.first, self.own = F.col("which") == 0, F.col("w") + F.lit(ridge)
         cross = [F.sum(F.when(self.first, F.get("wx", F.lit(i)) * F.get("wx", F.lit(j)) / self.own)).alias(f"c{i}_{j}") for i in range(q) for j in range(i, q)]
-        sums = levels.agg(*cross).first()
+        sums = levels.agg(*cross, *(self._shares(value, q) if value else [])).first()
+        self.known = {value: sums} if value else {}
         taken = np.zeros((q, q))
         for i in range(q):
             for j in range(i, q):
@@ -183,9 +223,11 @@ class _Elimination:
         self.left = matrix + ridge * np.diag([0.0] + [1.0] * (q - 1)) - taken
         self.singular = False
 
+    def _shares(self, value: str, q: int) -> list[Column]:
+        return [F.sum(F.when(self.first, F.get("wx", F.lit(j)) * F.col(value) / self.own)).alias(f"s{j}") for j in range(q)]
+
     def dense(self, levels: DataFrame, value: str, dense: np.ndarray) -> np.ndarray:
-        shares = [F.sum(F.when(self.first, F.get("wx", F.lit(j)) * F.col(value) / self.own)).alias(f"s{j}") for j in range(len(dense))]
-        sums = levels.agg(*shares).first()
+        sums = self.known[value] if value in self.known else levels.agg(*self._shares(value, len(dense))).first()
         move, singular = solved(self.left, dense - np.array([sums[f"s{j}"] or 0.0 for j in range(len(dense))]))
         self.singular |= singular
         return move
@@ -242,21 +284,28 @@ def _conjugate(scored: DataFrame, levels: DataFrame, matrix: np.ndarray, gradien
 
 def fit_wide(df: DataFrame, outcome: str, predictors: list[str]) -> WideModel:
     """Fit by Newton steps; every categorical predictor with more than a few levels is wide."""
-    label = encode_outcome(df, outcome)
-    kinds = predictor_kinds(df, predictors, outcome)
-    wide = [n for n, kind in kinds.kinds.items() if kind == "categorical" and n not in kinds.values]
-    if not wide:
-        raise ValueError("No predictor has many levels; use a dense model.")
-    narrow = [n for n in kinds.kinds if n not in wide]
-    dense_terms = build_design(df, narrow, outcome).terms if narrow else []
-    m, q = len(wide), len(dense_terms) + 1
-    cells = _cells(df, label.label, dense_terms, wide).persist()
-    levels, dense, steps, converged, singular, held = None, np.zeros(q), 0, False, False, None
+    df, count = _folded(df, [outcome, *predictors])
+    df, cells = df.persist(), None
     try:
+        label = encode_outcome(df, outcome)
+        kinds = predictor_kinds(df, predictors, outcome)
+        wide = [n for n, kind in kinds.kinds.items() if kind == "categorical" and n not in kinds.values]
+        if not wide:
+            raise ValueError("No predictor has many levels; use a dense model.")
+        narrow = [n for n in kinds.kinds if n not in wide]
+        dense_terms = build_design(df, narrow, outcome).terms if narrow else []
+        m, q = len(wide), len(dense_terms) + 1
+        cells = _cells(df, count, label.label, dense_terms, wide)
+        if m == 1:
+            # A given number keeps the layout of the cells known to each step's join.
+            cells = cells.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l0").sortWithinPartitions("l0")
+        cells = cells.persist()
+        levels, dense, steps, converged, singular, held, sums = None, np.zeros(q), 0, False, False, None, None
         head = cells.agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("events"), *[F.min(f"l{k}").alias(f"l{k}") for k in range(m)],
             *[F.approx_count_distinct(f"l{k}").alias(f"c{k}") for k in range(m)],
         ).first()
+        df.unpersist()
         if not head["n"] or head["events"] in (0, head["n"]):
             raise ValueError("The complete rows hold one outcome class only.")
         # The predictor that is eliminated exactly is the one with most levels.
@@ -268,29 +317,39 @@ def fit_wide(df: DataFrame, outcome: str, predictors: list[str]) -> WideModel:
             reference |= (F.col("which") == k) & (F.col("level") == name)
         while steps < fv.NEWTON_STEPS and not converged:
             scored = _scored(cells, levels, dense, m)
-            scored = scored.persist() if m > 1 else scored
-            sums = stored(_sums(scored, m, q), "wide")
-            matrix, gradient = _dense_block(sums, q)
+            scored = scored.persist() if m > 1 or q > 1 else scored
+            before, sums = sums, stored(_sums(scored, m, q), "wide")
+            matrix, gradient = _dense_block(sums, scored, m, q)
             own = sums.where((F.col("which") != DENSE) & ~reference)
             if m == 1:
-                solver = _Elimination(own, matrix, fv.RIDGE)
+                solver = _Elimination(own, matrix, fv.RIDGE, "r")
                 move = solver.dense(own, "r", gradient)
                 moved, singular = own.withColumn("move", solver.level("r", move)), singular or solver.singular
             else:
                 move, moved = _conjugate(scored, own, matrix, gradient, m)
-                scored.unpersist()
+            scored.unpersist()
             dense, steps = dense + move, steps + 1
             largest = moved.agg(F.max(F.abs("move"))).first()[0] or 0.0
             converged = max(float(np.abs(move).max()), largest) < fv.NEWTON_TOLERANCE
-            after = stored(moved.select("which", "level", (F.col("b") + F.col("move")).alias("b")), "wide")
-            for used in {id(f): f for f in (sums, levels, None if m == 1 else moved)}.values():
-                if used is not None:
-                    discard(used)
+            after = moved.select("which", "level", (F.col("b") + F.col("move")).alias("b"))
+            if m == 1:  # read off the sums, which stay until the next ones are there
+                used = [before]
+            else:
+                after, used = stored(after, "wide"), [sums, levels, moved]
+            for table in {id(f): f for f in used if f is not None}.values():
+                discard(table)
             levels = after
-        held = stored(_sums(_scored(cells, levels, dense, m), m, q), "wide")
+        scored = _scored(cells, levels, dense, m)
+        scored = scored.persist() if m == 1 and q > 1 else scored
+        held = stored(_sums(scored, m, q), "wide")
+        matrix, _ = _dense_block(held, scored, m, q)
+        scored.unpersist()
+        if m == 1 and sums is not None:
+            discard(sums)
     finally:
-        cells.unpersist()
-    matrix, _ = _dense_block(held, q)
+        for used in (df, cells):
+            if used is not None:
+                used.unpersist()
     own = held.where((F.col("which") != DENSE) & ~reference)
     errors, error = None, F.lit(None).cast("double")
     if m == 1:

@@ -142,3 +142,20 @@ def test_wide_fit_equals_the_dense_one(spark):
                 assert found[term]["p_value"] == pytest.approx(r["p_value"], abs=2e-3)
     with pytest.raises(ValueError):
         wide.fit_wide(df, "y", ["x"])
+
+
+def test_a_wide_step_writes_one_table(spark, monkeypatch):
+    """With one wide predictor; and equal rows count as often as they occur."""
+    rows = [(i % 3 == 0 or i % 7 == 1, f"level {i % 25}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "n boolean, a string")
+    written = []
+    monkeypatch.setattr(wide, "stored", lambda df, name, stored=wide.stored: written.append(name) or stored(df, name))
+    model = wide.fit_wide(df, "n", ["a", "a"])
+    assert model.converged and len(written) == model.steps + 1
+    counts = {}
+    for event, level in rows:
+        counts.setdefault(level, [0, 0])[event] += 1
+    odds = {level: np.log(e / o) for level, (o, e) in counts.items()}
+    found = {r["level"]: r["b"] for r in model.levels.collect()}
+    assert model.n == 1000 and model.references == ["level 0"]
+    assert found == {level: pytest.approx(v - odds["level 0"], abs=1e-4) for level, v in odds.items() if level != "level 0"}
